@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, table
+from .common import bound_batches, map_text, table
 
 #: Parts of at most this many characters are encoded whole.
 LEAF_CHARS = 16_384
@@ -201,6 +201,9 @@ def worker_encoder(path: str | None = None, leaf_chars: int = LEAF_CHARS, window
     return _worker[key]
 
 
+IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+
+
 def encode_documents(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``ids array<int>`` of every whole text, beside the columns in ``keep``.
 
@@ -212,14 +215,13 @@ def encode_documents(df: DataFrame, text_col: str = "text", keep: Sequence[str]
         encoder = worker_encoder(path, leaf_chars)
         return lambda texts: [encoder.encode(texts)]
 
-    return map_text(df, make, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False))]), text_col, keep)
+    return map_text(df, make, IDS, text_col, keep)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
     """``text string`` of every id array, beside the columns in ``keep``; null and empty arrays give an empty text."""
     import pyarrow as pa
 
-    from .common import bound_batches
 
     bound_batches(df.sparkSession)
     keep = [c for c in keep if c != "text"]
@@ -237,6 +239,16 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", keep: Sequence[str] = ("doc_
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
+def digests(encoder: TreeEncoder, rows: list[list[int]]) -> list[list]:
+    """Columns of DIGEST for the ids of some texts."""
+    decimal, sha = encoder.decimal.__getitem__, hashlib.sha256
+    return [
+        [len(ids) for ids in rows],
+        [sha(",".join(map(decimal, ids)).encode()).hexdigest() for ids in rows],
+        [sha(t.encode()).hexdigest() for t in encoder.decode(rows)],
+    ]
+
+
 def digest_documents(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Encode and decode every whole text in one pass and keep digests: n_tokens, ids_sha256, decoded_sha256.
 
@@ -246,19 +258,24 @@ def digest_documents(df: DataFrame, text_col: str = "text", keep: Sequence[str]
 
     def make():
         encoder = worker_encoder(path, leaf_chars)
-        decimal, sha = encoder.decimal.__getitem__, hashlib.sha256
+        return lambda texts: digests(encoder, encoder.encode(texts))
+
+    return map_text(df, make, DIGEST, text_col, keep)
+
+
+def encode_and_digest(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """The columns of digest_documents and encode_documents in one pass."""
+
+    def make():
+        encoder = worker_encoder(path, leaf_chars)
 
         def run(texts):
             rows = encoder.encode(texts)
-            return [
-                [len(ids) for ids in rows],
-                [sha(",".join(map(decimal, ids)).encode()).hexdigest() for ids in rows],
-                [sha(t.encode()).hexdigest() for t in encoder.decode(rows)],
-            ]
+            return [*digests(encoder, rows), rows]
 
         return run
 
-    return map_text(df, make, DIGEST, text_col, keep)
+    return map_text(df, make, T.StructType([*DIGEST, *IDS]), text_col, keep)
 
 
 def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
