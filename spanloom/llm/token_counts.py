@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import LEAF_CHARS, worker_encoder
-from .common import map_text, table
+from .common import checkpointed, map_text, table
 
 #: Lengths per block of the two-level suffix sum: no task holds more lengths than this, nor more block totals than blocks.
 BLOCK = 1024
@@ -42,9 +42,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_at_least and tokens_at_least count what has that length or more; docs_at_most gives
     quantiles (the q-quantile is the least length whose docs_at_most reaches q times all documents);
     truncated_total is the sum of min(length, limit) over all documents, lost_total the rest.
-    Sums are taken within blocks of lengths and over block totals, so no task sees all lengths.
+    Sums are taken within blocks of lengths and over block totals, so no task sees all lengths. The
+    histogram is read twice, hence checkpointed: the documents behind it are encoded once.
     """
-    cells = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    cells = checkpointed(hist).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = cells.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     above, every = W.orderBy(F.desc("block")), W.partitionBy()
     blocks = blocks.select(
