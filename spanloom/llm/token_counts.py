@@ -18,7 +18,7 @@ from .bpe import LEAF_CHARS, worker_encoder
 from .common import checkpointed, map_text, table
 
 #: Lengths per block of the two-level suffix sum: no task holds more lengths than this, nor more block totals than blocks.
-BLOCK = 1024
+BLOCK = 256
 
 
 def token_lengths(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
