@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import lexical
+from .plans import lexical, temporal
 
-MODULES = (lexical,)
+MODULES = (lexical, temporal)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
