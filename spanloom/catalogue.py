@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import lexical, signals, temporal
+from .plans import lexical, retrieval, signals, temporal
 
-MODULES = (lexical, temporal, signals)
+MODULES = (lexical, temporal, signals, retrieval)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
