@@ -143,6 +143,8 @@ def run_links(fp: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS, long_ru
     return np.concatenate(left), np.concatenate(right)
 
 
+#: Up to this many removed ids (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 EDGES = "u long, v long"
 
 
@@ -226,12 +228,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The row of the least id of each near-duplicate class, with all its columns.
 
-    Of repeated rows with that id one stays. Rows with a null id stay only where their class has no other id.
+    Of repeated rows with that id one stays. A row with a null id cannot be told from others like it and stays.
+    Only ids are joined: while no more than BROADCAST_IDS go, texts are not shuffled.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, max_bits)
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    classes = checkpointed(near_duplicate_classes(docs, id_col, text_col, max_bits).select(F.col(id_col).alias("__id"), "component_id"))
+    gone = classes.where("__id <> component_id").select("__id").distinct()
+    twice = checkpointed(classes.where("__id = component_id").groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    kept = docs.join(bounded(gone), docs[id_col] == F.col("__id"), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    twice = bounded(twice)
+    once = kept.join(twice, kept[id_col] == F.col("__id"), "left_anti")
+    return once.unionByName(kept.join(twice, kept[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]))
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,13 +74,20 @@ def test_masks_cover_all_links():
             assert (masks & diff == 0).any()
 
 
+def test_shuffled_removal_equals_broadcast(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == want
+
+
 def test_degenerate(spark):
     rows = [(5, None), (3, ""), (7, "same words here again now"), (2, "same words here again now"), (None, "same words here again now"), (2, "same words here again now"), (9, "quite another text of several words")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS component_id")
     got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicate_classes(df).collect())
     assert got == sorted([("5", 3), ("3", 3), ("7", 2), ("2", 2), ("None", 2), ("2", 2), ("9", 9)])
     kept = simhash.deduplicate(df)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 9] and kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "9", "None"] and kept.columns == df.columns
     assert simhash.near_duplicate_classes(df.limit(0)).count() == 0
 
 
