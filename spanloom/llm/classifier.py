@@ -25,7 +25,7 @@ from .common import map_text, table
 from .training import held_out, labelled_sample
 
 #: The model is fitted on at most this many labelled documents.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 3_000
 BUCKETS = 1 << 17
 DIM = 8
 ORDERS = (3, 4)
@@ -33,7 +33,7 @@ EPOCHS = 12
 RATE = 2.0
 SEED = 11
 #: Words that a worker remembers at once; the memory is emptied when full.
-REMEMBER = 300_000
+REMEMBER = 150_000
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: The feature that a word equal to the one before it adds.
 AGAIN = "\x00again"
@@ -74,11 +74,11 @@ class Model:
 
 
 def train(docs: Sequence[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Fit on (feature buckets, counts, label) per document. Without documents all scores are 0.5; featureless ones are skipped."""
+    """Fit on (feature buckets, their shares, label) per document. Without documents all scores are 0.5; featureless ones are skipped."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    docs = [(i, (c / c.sum()).astype(np.float32), y) for i, c, y in docs if len(i)]
+    docs = [d for d in docs if len(d[0])]
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
@@ -125,22 +125,34 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType(), False)), T.StructField("counts", T.ArrayType(T.IntegerType(), False))])
+FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType(), False)), T.StructField("shares", T.ArrayType(T.FloatType(), False))])
+
+
+def shared_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a document's features, and the share that each has of all."""
+    found = document_features(text)
+    counts = np.fromiter(found.values(), np.float32, len(found))
+    return np.fromiter(found.keys(), np.int32, len(found)), counts / max(1.0, counts.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> Model:
-    """Train on at most ``rows`` labelled documents that are not held out. Features are hashed on the executors; only they come to the driver."""
+    """Train on at most ``rows`` labelled documents that are not held out.
 
-    def make():
-        def run(texts):
-            found = [document_features(t) for t in texts]
-            return [[list(c.keys()) for c in found], [list(c.values()) for c in found]]
+    Features are hashed on the executors; only their buckets and shares come to the driver, as Arrow buffers that are used in place.
+    """
 
-        return run
+    def make():
+        return lambda texts: [list(c) for c in zip(*map(shared_features, texts), strict=True)]
 
     sample = labelled_sample(docs, labels, rows, id_col, label_col, text_col)
-    got = map_text(sample, make, FEATURES, "text", ("id", "label")).toPandas().sort_values(["id", "label"], kind="stable")
-    return train([(np.asarray(r.features, np.int64), np.asarray(r.counts, np.float32), int(r.label)) for r in got.itertuples()])
+    got = map_text(sample, make, FEATURES, "text", ("id", "label")).toArrow()
+    data = []
+    for b in got.to_batches():
+        edges = b.column("features").offsets.to_numpy()
+        ids, shares = b.column("features").values.to_numpy(), b.column("shares").values.to_numpy()
+        data += [(key, y, ids[i:j], shares[i:j]) for key, y, i, j in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), edges, edges[1:])]
+    data.sort(key=lambda d: (d[0], d[1], len(d[2])))
+    return train([(ids, shares, y) for _, y, ids, shares in data])
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])

@@ -99,14 +99,11 @@ def test_classifier_on_documents(spark, judged):
 
 def test_scalar_scores_equal_the_network():
     texts = ["good plain words here", "BAD!! BAD!! BAD!!", "more plain words", "|| ## ||"]
-    data = []
-    for i, t in enumerate(texts):
-        c = classifier.document_features(t)
-        data.append((np.array(list(c)), np.array(list(c.values()), float), 1 - i % 2))
+    data = [(*classifier.shared_features(t), 1 - i % 2) for i, t in enumerate(texts)]
     model = classifier.train(data, epochs=30)
     scorer = classifier.Scorer(model)
-    for t, (ids, counts, y) in zip(texts, data, strict=True):
-        z = model.bias + float(counts @ model.scalars[ids].astype(float)) / counts.sum()
+    for t, (ids, shares, y) in zip(texts, data, strict=True):
+        z = model.bias + float(shares @ model.scalars[ids].astype(float))
         assert abs(scorer.score(t) - 1 / (1 + np.exp(-z))) < 1e-6
         assert (scorer.score(t) >= 0.5) == bool(y)
 
