@@ -24,7 +24,7 @@ def ewma_spikes(df: DataFrame, group: str, time: str, row_id: str, delta: str) -
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, row_id], kind="stable")
+        pdf = pdf.sort_values([*dict.fromkeys((time, row_id))], kind="stable")
         state = Ewma()
         return pd.DataFrame({group: pdf[group], "id": pdf[row_id], "spike": [state.push(d) for d in pdf[delta].fillna(0.0)]})
 
@@ -52,7 +52,7 @@ def select_cuts(df: DataFrame, group: str, time: str, row_id: str, strength: str
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[time, strength]).sort_values([time, row_id], kind="stable")
+        pdf = pdf.dropna(subset=[time, strength]).sort_values([*dict.fromkeys((time, row_id))], kind="stable")
         keep = scheduled(pdf[time].to_numpy(float), pdf[strength].to_numpy(float), least_gap)
         pdf = pdf.iloc[keep]
         return pd.DataFrame({group: pdf[group], "id": pdf[row_id], "t": pdf[time].astype(float)})
@@ -104,7 +104,7 @@ def grid_thinning(df: DataFrame, group: str, time: str, row_id: str, stride: flo
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[time]).sort_values([time, row_id], kind="stable")
+        pdf = pdf.dropna(subset=[time]).sort_values([*dict.fromkeys((time, row_id))], kind="stable")
         t, keep, at = pdf[time].to_numpy(float), [], 0
         while at < len(t):
             keep.append(at)
@@ -120,7 +120,7 @@ def greedy_distinct(df: DataFrame, group: str, time: str, row_id: str, bits: str
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[bits]).sort_values([time, row_id], kind="stable")
+        pdf = pdf.dropna(subset=[bits]).sort_values([*dict.fromkeys((time, row_id))], kind="stable")
         words = pdf[bits].to_numpy(np.int64).view(np.uint64)
         best = int(np.argmax(pdf[quality].to_numpy(float))) if quality and len(pdf) else -1
         kept: list[int] = []
@@ -130,7 +130,7 @@ def greedy_distinct(df: DataFrame, group: str, time: str, row_id: str, bits: str
         pdf = pdf.iloc[kept]
         return pd.DataFrame({group: pdf[group], "id": pdf[row_id]})
 
-    cols = [group, time, row_id, bits] + ([quality] if quality else [])
+    cols = dict.fromkeys([group, time, row_id, bits] + ([quality] if quality else []))
     return per_group(df.select(*cols), group, run, f"{group} {kinds[group]}, id {kinds[row_id]}")
 
 
