@@ -13,9 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes that one Arrow batch may carry to a Python worker. Long texts make small batches.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Rows that the Parquet reader decodes at once: whole texts are large, its usual thousands of rows are many MB on the heap.
+READER_ROWS = 512
 #: Characters that a text function gets at once within a batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches within BATCH_ROWS and BATCH_BYTES for the rest of the session."""
+    """Keep Arrow batches within BATCH_ROWS and BATCH_BYTES, and decoded Parquet batches within READER_ROWS, for the rest of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
