@@ -18,7 +18,8 @@ def lexical_tokens(text: Column) -> Column:
     """Lower-case tokens; a number word is followed by its digits. Null text gives null."""
     table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: F.when(F.element_at(table, w).isNotNull(), F.array(w, F.element_at(table, w))).otherwise(F.array(w))))
+    spelt = F.flatten(F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS), F.array(w, F.element_at(table, w))).otherwise(F.array(w))))
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, NUMBER_WORDS))), spelt).otherwise(words)
 
 
 #: Words that never are keywords.
@@ -33,9 +34,8 @@ KEYWORD = "[A-Za-z][A-Za-z0-9'-]+"
 
 def keyword_tokens(text: Column, least: int = 3) -> Column:
     """Lower-case content words of at least ``least`` characters that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     words = F.transform(F.regexp_extract_all(text, F.lit(KEYWORD), F.lit(0)), lambda w: F.lower(w))
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*dict.fromkeys(STOP_WORDS)))
 
 
 def sentences(text: Column) -> Column:
@@ -157,14 +157,12 @@ SCAFFOLDING = (
 
 
 def content_words(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in QUESTION_STOP])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'-]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'-]{2,}"), F.lit(0)), lambda w: ~w.isin(*QUESTION_STOP))
 
 
 def leans_on_context(question: Column) -> Column:
     """Whether a question needs what was said before: it has a pronoun, or an order word and at most one subject, or no subject."""
-    scaffold = F.array(*[F.lit(w) for w in SCAFFOLDING])
-    subjects = F.size(F.filter(content_words(question), lambda w: ~F.array_contains(scaffold, w)))
+    subjects = F.size(F.filter(content_words(question), lambda w: ~w.isin(*SCAFFOLDING)))
     return question.rlike(PRONOUNS) | (question.rlike(ORDER_WORDS) & (subjects <= 1)) | (subjects == 0)
 
 

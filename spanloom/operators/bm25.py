@@ -11,8 +11,8 @@ from ..functions.text import lexical_tokens
 K1 = 1.4
 B = 0.72
 QUERY_BOOST = 0.15
-#: Queries up to this many are broadcast with their terms; more are joined by shuffle.
-BROADCAST_QUERIES = 10_000
+#: Up to this many distinct query terms, their statistics and the queries' terms are broadcast; beyond, joined by shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,19 +43,24 @@ def scores(docs: DataFrame, queries: DataFrame, doc_filter: Column | None = None
     Document tokens are cut to query terms before any shuffle, so what moves follows the matches.
     """
     terms = query_terms(queries, query_id)
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    lengths = doc_lengths(docs, doc_id)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("len"), F.lit(0.0)).alias("avg_len")).first()
-    n, avg_len = stats["n"] or 0, stats["avg_len"] or 1.0
+    wanted_terms = terms.select("term").distinct()
+    few = wanted_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda x: x)
     flag = F.lit(True) if doc_filter is None else F.coalesce(doc_filter, F.lit(False))
     tokens = docs.select(F.col(doc_id).alias("doc"), flag.alias("wanted"), lexical_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    hits = tokens.select("doc", "wanted", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
-    tf = hits.groupBy("term", "doc", "len", "wanted").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "term").select("query", "term", (idf(F.lit(n), F.col("df")) * (1 + QUERY_BOOST * F.log(F.col("qtf") + 1))).alias("w"))
+    # one pass for all statistics: every document also has the term '', which counts documents and their lengths
+    marked = wanted_terms.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    seen = tokens.select(F.size("t").alias("len"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "t"))).alias("term"))
+    stats = seen.join(small(marked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
+    if few:
+        stats = docs.sparkSession.createDataFrame(stats.collect(), "term string, df long, len long")  # at most one row per query term
+    total = stats.where("term = ''").first()
+    n, avg_len = (total["df"], total["len"] / total["df"]) if total else (0, 1.0)
+    hits = tokens.where("wanted").select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(wanted_terms), "term", "left_semi")
+    tf = hits.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = terms.join(stats, "term").select("query", "term", (idf(F.lit(n), F.col("df")) * (1 + QUERY_BOOST * F.log(F.col("qtf") + 1))).alias("w"))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    pairs = tf.where("wanted").select("term", "doc", norm.alias("s")).join(small(weighted), "term")
+    pairs = tf.select("term", "doc", norm.alias("s")).join(small(weighted), "term")
     return pairs.groupBy("query", "doc").agg(F.round(F.sum(F.col("s") * F.col("w")), 6).alias("score"))
 
 

@@ -20,28 +20,32 @@ def prior(channel: Column, priors: dict[str, float] = PRIORS) -> Column:
     return F.coalesce(table[channel], F.lit(1.0))
 
 
+def weighted(lists: DataFrame, priors: dict[str, float] = PRIORS) -> DataFrame:
+    """Adds weight: prior x (1 - normalised entropy of the channel's scores) x (1 + gap of top and median), at least FLOOR, summing to the number of channels.
+
+    All windows lie within a query, so lists are computed and dealt once.
+    """
+    channel, every = W.partitionBy("query", "channel"), W.partitionBy("query")
+    top, n = F.max("score").over(channel), F.count(F.lit(1)).over(channel)
+    s = lists.withColumn("__x", (F.col("score") - top) / TEMPERATURE)
+    # entropy of a softmax: ln Z less the mean exponent
+    z, ex = F.sum(F.exp("__x")).over(channel), F.sum(F.exp("__x") * F.col("__x")).over(channel)
+    entropy = F.when(n <= 1, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log(z) - ex / z) / F.log(n))))
+    gap = (top - F.percentile("score", F.lit(0.5)).over(channel)) / (F.abs(top) + 1e-12)
+    s = s.withColumn("__raw", F.greatest(F.lit(FLOOR), prior(F.col("channel"), priors) * (1 - entropy) * (1 + gap)))
+    s = s.withColumn("__one", F.row_number().over(channel.orderBy("rank", "doc")) == 1)
+    share = F.col("__raw") * F.count_if("__one").over(every) / F.sum(F.when(F.col("__one"), F.col("__raw"))).over(every)
+    return s.withColumn("weight", F.round(share, 6)).select(*lists.columns, "weight", F.col("__one").alias("leads"))
+
+
 def adaptive_weights(lists: DataFrame, priors: dict[str, float] = PRIORS) -> DataFrame:
-    """query, channel, weight: prior x (1 - normalised entropy of the scores) x (1 + gap of top and median), at least FLOOR, summing to the number of channels."""
-    top = F.max("score").over(W.partitionBy("query", "channel"))
-    s = lists.withColumn("e", F.exp((F.col("score") - top) / TEMPERATURE)).withColumn("x", (F.col("score") - top) / TEMPERATURE)
-    # entropy of a softmax: ln Z minus the mean exponent
-    g = s.groupBy("query", "channel").agg(
-        F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.percentile("score", 0.5).alias("med"), F.sum("e").alias("z"), F.sum(F.col("e") * F.col("x")).alias("ex")
-    )
-    entropy = F.when(F.col("n") <= 1, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log("z") - F.col("ex") / F.col("z")) / F.log("n"))))
-    gap = (F.col("top") - F.col("med")) / (F.abs("top") + 1e-12)
-    raw = F.greatest(F.lit(FLOOR), prior(F.col("channel"), priors) * (1 - entropy) * (1 + gap))
-    every = W.partitionBy("query")
-    return g.withColumn("raw", raw).select("query", "channel", F.round(F.col("raw") * F.count(F.lit(1)).over(every) / F.sum("raw").over(every), 6).alias("weight"))
-
-
-def fuse(lists: DataFrame, weights: DataFrame | None = None, k: float = RRF_K) -> DataFrame:
-    """query, doc, score, best_rank, channels (sorted), contributions: the sum of weight / (k + rank). Channels without a weight count 1."""
-    if weights is not None:
-        lists = lists.join(weights, ["query", "channel"], "left")
-        weight = F.coalesce("weight", F.lit(1.0))
-    else:
-        weight = F.lit(1.0)
+    """query, channel, weight."""
+    return weighted(lists, priors).where("leads").select("query", "channel", "weight")
+
+
+def fuse(lists: DataFrame, k: float = RRF_K) -> DataFrame:
+    """query, doc, score, best_rank, channels (sorted), contributions: the sum of weight / (k + rank). Lists without a weight count 1."""
+    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in lists.columns else F.lit(1.0)
     part = lists.withColumn("c", weight / (k + F.col("rank")))
     return part.groupBy("query", "doc").agg(
         F.round(F.sum("c"), 6).alias("score"),

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.text import keyword_tokens, suppressed
 
 PHRASE_BOOST = 1.4
+#: Group sizes are broadcast for up to this many groups.
+BROADCAST_GROUPS = 100_000
+
+
+def bounded(groups: DataFrame) -> bool:
+    return groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
 def term_counts(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
@@ -23,8 +29,8 @@ def keyword_scores(texts: DataFrame, group: str, item: str, text: str) -> DataFr
     """group, item, term, score. Phrases must recur; terms of every text of a group of several say nothing and go."""
     counts = term_counts(texts, group, item, text)
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    told = counts.where(~F.col("phrase") | (F.col("tf") >= 2)).join(df, [group, "term"]).join(n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1))
+    df = F.count(F.lit(1)).over(W.partitionBy(group, "term"))  # a window: the terms are counted once, not again for a join
+    told = counts.withColumn("df", df).where(~F.col("phrase") | (F.col("tf") >= 2)).join(F.broadcast(n) if bounded(n) else n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1))
     weight = (1 + F.log("tf")) / F.log(2.0 + F.col("total"))
     score = weight * F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * F.when(F.col("phrase"), PHRASE_BOOST).otherwise(1.0)
     return told.select(group, item, "term", F.round(score, 6).alias("score"))

@@ -80,8 +80,7 @@ def adaptive_weights(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    lists = _lists(spark, sf_dir)
-    return fusion.fused_order(fusion.fuse(lists, fusion.adaptive_weights(lists)))
+    return fusion.fused_order(fusion.fuse(fusion.weighted(_lists(spark, sf_dir))))
 
 
 @query(

@@ -196,7 +196,7 @@ def test_fusion_golden(spark):
     assert plain == {"x": round(1 / 61 + 1 / 62, 6), "y": round(1 / 61 + 1 / 62, 6), "z": round(1 / 61, 6)}
     w = {r.channel: r.weight for r in fusion.adaptive_weights(lists).collect()}
     assert w["a"] > w["b"] and sum(w.values()) == pytest.approx(3, abs=1e-5)
-    best = fusion.fused_order(fusion.fuse(lists, fusion.adaptive_weights(lists))).where("place = 1").first()
+    best = fusion.fused_order(fusion.fuse(fusion.weighted(lists))).where("place = 1").first()
     assert best.doc == "x" and best.channels == ["a", "b"]
 
 
