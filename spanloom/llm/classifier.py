@@ -155,14 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     return train([(ids, shares, y) for _, y, ids, shares in data])
 
 
-SCORE = T.StructType([T.StructField("score", T.DoubleType())])
-
-
-def score_documents(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``score double`` in 0..1 of every whole text, in one narrow pass.
+def score_documents(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``out double`` in 0..1 of every whole text, in one narrow pass.
 
     Null, empty and wordless texts have no features and get the bias alone. Equal texts get equal
-    scores. Other columns go; a kept column named score gives way to the result.
+    scores. Other columns go; a kept column with the name of the result gives way to it.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers: half a megabyte, whatever the data
 
@@ -170,7 +167,7 @@ def score_documents(df: DataFrame, model: Model, text_col: str = "text", keep: S
         scorer = Scorer(shared.value)
         return lambda texts: [[scorer.score(t) for t in texts]]
 
-    return map_text(df, make, SCORE, text_col, keep)
+    return map_text(df, make, T.StructType([T.StructField(out, T.DoubleType())]), text_col, keep)
 
 
 def op8_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

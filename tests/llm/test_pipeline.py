@@ -44,3 +44,19 @@ def test_stages_against_plain_forms(spark, sf_dir):
         ids = encoder.tokenizer.encode(clean[r.doc_id], add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(clean[r.doc_id].encode()).hexdigest()
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir):
+    rows = [(1, None, None, None, None, 0.1, 7), (2, "", "en", "a", 0, 0.2, 8), (2, "", "en", "a", 0, 0.2, 8), (None, "some words are here now mail a@b.co", "en", None, 5, 0.3, 9), (5, "same text again and again 4929963689861572", None, "hot", None, None, None), (6, "same text again and again 4929963689861572", "en", "hot", 1, 0.4, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, copy int").selectExpr("*", "'x' AS ids", "1 AS n_tokens")
+    for given in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            given = stage(spark, given, sf_dir)
+            assert given.columns == docs.columns
+            kept = {(r.doc_id, r.score, r.copy) for r in given.collect()}
+            assert kept <= {(r[0], r[5], r[6]) for r in rows}
+        assert corpus_pipeline.encoding(spark, given, sf_dir).count() == given.count()
+    two = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(str(r.doc_id) for r in two.collect()) == ["1", "5", "None"]
+    three = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.personal_data(spark, docs, sf_dir).collect()}
+    assert three[1] == (None, None) and three[None][0].endswith("mail [EMAIL]") and three[5][1] == len(three[5][0])
