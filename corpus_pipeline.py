@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``: quality, near duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
-return the columns of ``documents``.
+return the columns they are given, whatever their names; nulls in any column, empty texts, repeated
+rows and empty tables pass through as the operators define.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from spanloom.llm.common import table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the subword classifier, trained on the labelled ones among them, scores 0.5 or more."""
     model = classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return classifier.score_documents(docs, model, keep=docs.columns).where("score >= 0.5").select(*docs.columns)
+    return classifier.score_documents(docs, model, keep=docs.columns, out="__quality").where("__quality >= 0.5").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents by the Poisson counts of their sources, in a global random order."""
-    return mixing.poisson_mix(docs, mixing.source_rates(docs), out=docs.columns).select(*docs.columns)
+    return mixing.poisson_mix(docs, mixing.source_rates(docs), copy_col="__copy").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
