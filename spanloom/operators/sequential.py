@@ -34,6 +34,11 @@ def ewma_spikes(df: DataFrame, group: str, time: str, row_id: str, delta: str) -
 def scheduled(times: np.ndarray, strengths: np.ndarray, least_gap: float) -> list[int]:
     """Positions of the strongest set of sorted times at least ``least_gap`` apart; of equal sets the one that leaves later times out."""
     reach = np.searchsorted(times, times - least_gap, side="right")
+    for i, t in enumerate(times):  # the difference itself decides where t - least_gap is rounded
+        while reach[i] < i and t - times[reach[i]] >= least_gap:
+            reach[i] += 1
+        while reach[i] and t - times[reach[i] - 1] < least_gap:
+            reach[i] -= 1
     value = np.zeros(len(times) + 1)
     for i, s in enumerate(strengths):
         value[i + 1] = max(value[i], s + value[reach[i]])
