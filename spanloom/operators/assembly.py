@@ -109,17 +109,23 @@ def hue_slot(name: Column, slots: int = 8) -> Column:
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32))) % slots
 
 
+def _shown(value: Column, digits: int, unit: str) -> Column:
+    """The number to so many digits, halves upwards, and its unit."""
+    scale = 10**digits
+    return F.format_string(f"%.{digits}f {unit}", F.floor(value * scale + 0.5) / scale)
+
+
 def human_bytes(n: Column) -> Column:
     out = F.when(F.coalesce(n, F.lit(0)) == 0, "-")
     for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         v = n / float(1024**i)
-        text = F.format_string(f"%.0f {unit}", v.cast("double")) if i == 0 else F.when(v >= 100, F.format_string(f"%.0f {unit}", v)).otherwise(F.format_string(f"%.1f {unit}", v))
+        text = _shown(v, 0, unit) if i == 0 else F.when(v >= 100, _shown(v, 0, unit)).otherwise(_shown(v, 1, unit))
         out = out.when(v < 1024, text) if unit != "TB" else out.otherwise(text)
     return out
 
 
 def human_duration(t: Column) -> Column:
-    return F.when(t >= 3600, F.format_string("%.1f h", t / 3600)).when(t >= 60, F.format_string("%.0f min", F.floor(t / 60 + 0.5).cast("double"))).otherwise(F.format_string("%.0f s", F.floor(t + 0.5).cast("double")))
+    return F.when(t >= 3600, _shown(t / 3600, 1, "h")).when(t >= 60, _shown(t / 60, 0, "min")).otherwise(_shown(t, 0, "s"))
 
 
 def uniform_sample(df: DataFrame, group: str, order: str, capacity: int) -> DataFrame:

@@ -176,8 +176,12 @@ def colour_slots(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", asm.hue_slot(F.col("source")).alias("slot"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN p < 1024 THEN printf('%.0f B', p) WHEN p / 1024 < 1024 THEN CASE WHEN p / 1024 >= 100 THEN printf('%.0f KB', p / 1024) ELSE printf('%.1f KB', p / 1024) END ELSE printf('%.1f MB', p / 1048576) END AS bytes,
-CASE WHEN d >= 3600 THEN printf('%.1f h', d / 3600) WHEN d >= 60 THEN printf('%.0f min', floor(d / 60 + 0.5)) ELSE printf('%.0f s', floor(d + 0.5)) END AS duration FROM (SELECT o_orderkey, floor(o_totalprice * 13.7) AS p, floor(o_totalprice / 97) AS d FROM orders)""")
+_WHOLE = lambda v, unit: f"printf('%.0f {unit}', floor({v} + 0.5))"
+_TENTH = lambda v, unit: f"printf('%.1f {unit}', floor({v} * 10 + 0.5) / 10)"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN p < 1024 THEN {_WHOLE('p', 'B')} WHEN p / 1024 < 100 THEN {_TENTH('p / 1024', 'KB')} WHEN p / 1024 < 1024 THEN {_WHOLE('p / 1024', 'KB')} ELSE {_TENTH('p / 1048576', 'MB')} END AS bytes,
+CASE WHEN d >= 3600 THEN {_TENTH('d / 3600', 'h')} WHEN d >= 60 THEN {_WHOLE('d / 60', 'min')} ELSE {_WHOLE('d', 's')} END AS duration FROM (SELECT o_orderkey, floor(o_totalprice * 13.7::DOUBLE) AS p, floor(o_totalprice / 97) AS d FROM orders)""")
 def human_formats(spark, sf_dir):
     """Sizes and durations as people read them."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * 13.7).cast("double").alias("p"), F.floor(F.col("o_totalprice") / 97).cast("double").alias("d"))
