@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import assembly, lexical, records, retrieval, signals, streams, temporal, texts
+from .plans import assembly, lexical, merging, records, retrieval, signals, streams, temporal, texts
 
-MODULES = (lexical, temporal, signals, retrieval, texts, records, assembly, streams)
+MODULES = (lexical, temporal, signals, retrieval, texts, records, assembly, merging, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

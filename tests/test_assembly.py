@@ -90,3 +90,23 @@ def test_sketches(spark):
     df = spark.createDataFrame([("revenue chart",), (None,)], "t string")
     rows = df.select(programs.sketch_column(F.col("t")).alias("v")).collect()
     assert len(rows[0].v) == 384 and not any(rows[1].v)
+
+
+def test_merging(spark):
+    from spanloom.operators import merging as mg
+
+    df = spark.createDataFrame([(1, 2, ["b"], {"x": 5}, None), (1, 1, ["a"], {"x": 1, "y": 2}, "p"), (2, 1, None, None, None)], "g int, o int, a array<string>, m map<string,int>, r string")
+    rows = {r.g: r for r in mg.folded_state(df, "g", "o", "a", "m", "r").collect()}
+    assert (rows[1].a, rows[1].m, rows[1].r) == (["a", "b"], {"x": 5, "y": 2}, "p") and (rows[2].a, rows[2].m, rows[2].r) == ([], {}, None)
+    assert one(spark, mg.time_marks(F.lit("at [01:05] and [1:00:00], not [1]"))) == [65, 3600]
+    cases = {'```json\n{"a": [1, 2,],}\n```': '{"a": [1, 2]}', "so: {“a”: 1} ok": '{"a": 1}', "[1, 2] tail": "[1, 2]", "none": None, None: None, "{broken": None}
+    assert [mg.recovered_json(k) for k in cases] == list(cases.values())
+    texts = spark.createDataFrame([(1, "one two"), (2, None)], "g int, t string")
+    words = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "g int, w string")
+    assert sorted((r.g, r.title) for r in mg.titles(words, "g", "w", texts, "t").collect()) == [(1, "b, a"), (2, "Untitled section")]
+    assert sorted((r.g, r.title) for r in mg.titles(words.limit(0), "g", "w", texts, "t").collect()) == [(1, "one two"), (2, "Untitled section")]
+    two = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)] + [(99, None)], "id int, v array<float>")
+    groups = {}
+    for r in mg.clusters(two, "v", 2).collect():
+        groups.setdefault(r.cluster, set()).add(r.id % 2)
+    assert sorted(map(sorted, groups.values())) == [[0], [1]]
