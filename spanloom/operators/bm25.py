@@ -57,6 +57,10 @@ def scores(docs: DataFrame, queries: DataFrame, doc_filter: Column | None = None
     total = stats.where("term = ''").first()
     n, avg_len = (total["df"], total["len"] / total["df"]) if total else (0, 1.0)
     hits = tokens.where("wanted").select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(wanted_terms), "term", "left_semi")
+    # dealt by document once: counting terms and adding up scores then need no shuffle of their own, and the
+    # explicit number keeps small inputs, which grow by the queries of each term, from landing in one task
+    spark = docs.sparkSession
+    hits = hits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "doc")
     tf = hits.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
     weighted = terms.join(stats, "term").select("query", "term", (idf(F.lit(n), F.col("df")) * (1 + QUERY_BOOST * F.log(F.col("qtf") + 1))).alias("w"))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
