@@ -1,12 +1,13 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 Tokens of a page are its elements (by their path) and its text blocks (by path and text). Over all
-pages of a host each token has an occurrence vector: how often it stands in each page. Vectors are
-compared by support and an order-free hash, so no host is ever gathered. Tokens that share a vector
+distinct pages of a host (rows of the same markup are one page) each token has an occurrence vector:
+how often it stands in each page. Vectors are compared by support and an order-free hash, so no host is ever gathered. Tokens that share a vector
 and are frequent form a class; a class of two or more tokens that keep their order on a page is
 valid there. Valid classes nest into the host's template: its text is boilerplate, its elements
-that stand once on every page cut the page into slots. The slots that hold the article are
-extracted, by what elements and their names say and by the slots' own text where they say nothing.
+that stand once on every page cut the page into slots. Where elements or their names say what the
+article is, it is kept whole, template or not; where they say nothing, boilerplate goes and the slots
+that hold the article are chosen by their own text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import bound_batches, checkpointed, table
 #: A token is frequent if it stands in at least this share of the host's pages, and in this many.
 SHARE = 0.5
 LEAST_PAGES = 4
+#: Pages that a task remembers at once, so as to read a repeated one only once; the memory is emptied when full.
+REMEMBER = 100_000
 #: Template tokens that are broadcast at once; beyond, pages and templates are joined by host.
 BROADCAST_TOKENS = 200_000
 #: In a slot that nothing names, more linked text than this share means a menu.
@@ -239,10 +242,7 @@ def valid_template(tokens: list[int], template: list[tuple[int, int, int, float]
 def extract(page: str, template: list[tuple[int, int, int, float]]) -> str:
     """The article's blocks. ``template``: (token, class, 1 if it stands once on every page, mean place) of the host, tokens unsigned."""
     tokens, blocks = parse(page)
-    boiler, skeleton = valid_template(all_tokens(tokens, blocks), template) if template else (set(), set())
-    data = [b for b in blocks if not b.aside and b.token not in boiler]
-    if not data:
-        return ""
+    data = [b for b in blocks if not b.aside]
     for kind in ("article", "main"):
         sizes: Counter = Counter()
         for b in data:
@@ -251,7 +251,9 @@ def extract(page: str, template: list[tuple[int, int, int, float]]) -> str:
         if sizes:
             best = max(sizes, key=lambda n: (sizes[n], -n))
             return "\n\n".join(b.text for b in data if getattr(b, kind) == best)
-    # nothing names the article: slots between the skeleton's elements, without those that are mostly links
+    # nothing names the article: slots between the skeleton's elements, without boilerplate and those that are mostly links
+    boiler, skeleton = valid_template(all_tokens(tokens, blocks), template) if template else (set(), set())
+    data = [b for b in data if b.token not in boiler]
     cuts = [i for i, t in enumerate(tokens) if t in skeleton]
     slots = [bisect_left(cuts, b.after) for b in data]
     size, linked = Counter(), Counter()
@@ -270,29 +272,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def token_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """``host, token, page, n, first``: one row per token of a page."""
+def markup_of(html: Column) -> Column:
+    """The page as text; null markup is empty."""
+    return F.coalesce(html.cast("string"), F.lit(""))
+
+
+def token_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, token, page, n, first``: one row per token of a distinct page; pages of a host with the same markup are one."""
     bound_batches(pages.sparkSession)
-    page = F.xxhash64(F.col(id_col).cast("string"), F.col(url_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for host, key, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = occurrences(page or "")
+                if (host, key) in seen:
+                    continue
+                if len(seen) >= REMEMBER:
+                    seen.clear()
+                seen.add((host, key))
+                found = occurrences(page)
                 n, first = zip(*found.values(), strict=True) if found else ((), ())
                 for col, v in zip(rows, ([host] * len(found), map(_signed, found), [key] * len(found), n, first), strict=True):
                     col.extend(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(r, pa.int64()) for r in rows[1:])], names=["host", "token", "page", "n", "first"])
 
-    source = pages.select(host_of(F.col(url_col)).alias("host"), page.alias("page"), F.col(html_col).cast("string").alias("html"))
-    return source.mapInArrow(run, "host string, token long, page long, n long, first long")
+    markup = markup_of(F.col(html_col))
+    source = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(markup).alias("page"), markup.alias("html"))
+    counts = source.mapInArrow(run, "host string, token long, page long, n long, first long")
+    # copies that other tasks read: a page's tokens meet by page, so no frequent token gathers in one task
+    return counts.repartition("host", "page").dropDuplicates(["host", "page", "token"])
 
 
 def templates(counts: DataFrame, hosts: DataFrame) -> DataFrame:
     """``host, template``: (token, class, once, rank) of the classes of two or more frequent tokens that share an occurrence vector.
 
-    ``hosts`` has the number of ``pages`` per ``host``. At most 1 / SHARE times the tokens of its average page are frequent on a host, so a template is no larger than that.
+    ``hosts`` has the number of distinct ``pages`` per ``host``. At most 1 / SHARE times the tokens of its average page are frequent on a host, so a template is no larger than that.
     """
     vectors = counts.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("support"),
@@ -311,12 +326,12 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """id, url and the main ``text`` of every page, from its whole markup; empty where there is none.
 
     Null markup counts as empty. Pages with a null or odd URL share the empty host. Hosts with fewer than LEAST_PAGES
-    pages have no template, and elements and names alone decide. Repeated rows are extracted each;
+    distinct pages have no template, and elements and names alone decide. Repeated rows are extracted each;
     other columns are not read.
     """
 
-    hosts = pages.groupBy(host_of(F.col(url_col)).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    found = checkpointed(templates(token_counts(pages, url_col, html_col, id_col), hosts))
+    hosts = pages.groupBy(host_of(F.col(url_col)).alias("host")).agg(F.countDistinct(F.xxhash64(markup_of(F.col(html_col)))).alias("pages"))
+    found = checkpointed(templates(token_counts(pages, url_col, html_col), hosts))
     size = found.agg(F.sum(F.size("template"))).first()[0] or 0
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = keyed.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left").select("id", "url", "html", "template")

@@ -157,3 +157,23 @@ def test_html_template_without_names(spark):
     got = sorted((r.page_id, r.text) for r in html_extract.extract_pages(df).collect())
     assert got == sorted((r[0], r[3]) for r in rows)
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_copies_on_a_host(spark):
+    """Copies of a page and repeated rows are one page: they make no template; an article's passages stay however many pages share them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    copy = "<div class=a><p>first words of it</p><p>second words of it</p></div><div class=b>third words</div>"
+    rows = [(i, "http://copies.example/p", copy, "first words of it\n\nsecond words of it\n\nthird words") for i in range(6)]
+    rows += [(10, "http://again.example/p", copy, rows[0][3])] * 5
+    for i in range(8):
+        own = " ".join(word() for _ in range(8))
+        for k in range(1 + (i < 4) * 5):
+            shared = ["<p>shared one</p><p>shared two</p>", ""][i % 2]
+            rows.append((100 + 10 * i + k, "http://named.example/p", f"<div>Menu</div><article>{shared}<p>{own}</p></article><div>Menu end</div>", ("shared one\n\nshared two\n\n" if shared else "") + own))
+        # a row repeated an even number of times must not cancel out
+        rows += [(200 + i, "http://plain.example/p", f"<div class=m>Welcome here</div><div class=x><p>{own}</p></div><div class=e>All content is ours</div>", own)] * (2 if i < 4 else 1)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    for parts in (1, 5):
+        got = sorted((r.page_id, r.text) for r in html_extract.extract_pages(df.repartition(parts)).collect())
+        assert got == sorted((r[0], r[3]) for r in rows)
