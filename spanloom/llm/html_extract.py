@@ -35,8 +35,14 @@ BROADCAST_TOKENS = 200_000
 #: In a slot that nothing names, more linked text than this share means a menu.
 LINKED = 0.5
 
-#: Elements whose content is no text of the page; fixed by HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "select", "head", "audio", "video")
+#: Elements whose content is no text of the page, up to their end tags; fixed by HTML.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style title noscript template iframe svg math object canvas textarea select audio video".split()}
+#: Those that run to the end of the page where they have no end tag; others are then elements like any.
+TO_THE_END = frozenset(("script", "style", "textarea"))
+#: Elements without text that may stand in a head; any other one ends it, as its end tag may be left out.
+HEAD = frozenset("base basefont bgsound link meta".split())
+#: A slash that ends an unquoted value, not the tag.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -54,7 +60,6 @@ ARTICLE_WORDS = frozenset("article post entry story content main articlebody".sp
 NAMES = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(?P<bad>/?[a-zA-Z])[^<>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -126,16 +131,35 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
         if in_link:
             linked += len(decoded.strip())
 
+    in_head = False
+    unclosed: set[str] = set()
     at = 0
-    for m in PIECE.finditer(page):
+    while m := PIECE.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() in ("head", "template", "textarea", "select"):
-                flush()
             continue
+        if tag == "head":
+            flush()
+            in_head = not m["end"]
+            continue
+        if tag in RAW and not m["end"]:
+            if m["attrs"].endswith("/") and (tag in ("svg", "math") or not VALUE_SLASH.search(m["attrs"])):
+                continue
+            # an end tag that was not found once is not looked for again
+            end = None if tag in unclosed else RAW[tag].search(page, at)
+            if end or tag in TO_THE_END:
+                if tag in ("template", "textarea", "select"):
+                    flush()
+                at = end.end() if end else len(page)
+                continue
+            unclosed.add(tag)
+        if in_head:
+            if tag in HEAD:
+                continue
+            in_head = False
         block = tag in BLOCKS
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):

@@ -177,3 +177,18 @@ def test_html_copies_on_a_host(spark):
     for parts in (1, 5):
         got = sorted((r.page_id, r.text) for r in html_extract.extract_pages(df.repartition(parts)).collect())
         assert got == sorted((r[0], r[3]) for r in rows)
+
+
+def test_html_raw_elements_without_end():
+    """A head, picture or frame without its end tag takes no text after it along; scripts and styles do, as in HTML."""
+    ex = lambda page: html_extract.extract(page, [])
+    body = "<article><p>one</p>{}<p>two</p></article><p>menu</p>"
+    for head in ("<head><title>t</title>", "<html><head><meta charset=x><title>t</title><script>if (a) '<div>no</div>'</script><link rel=y><style>p{}</style>", "<head><title>t</title></head>", "<title>t</title>", "<HEAD lang='a'><TITLE>t</TITLE><body class=b>"):
+        assert ex(head + "<body>" + body.format("")) == ex(head + body.format("")) == "one\n\ntwo", head
+        assert ex(head + "<p>plain").split("\n\n") == ["plain"], head
+    for odd in ("<svg width='1'/>", "<svg/>", '<math alttext="a>b" />', "<svg><path d='x'/></svg>", "<svg width=1/>", "<svg>", "<iframe src='x'>", "<iframe src=http://a.example/>frame</iframe>", "<object data=x>", "<select>", "<noscript>", "<video src=x />", "<script src='x'/>", "<script>no</script >", "<title>", "<svg />" + "<svg>no</svg>"):
+        assert ex(body.format(odd)) == "one\n\ntwo", odd
+    for to_the_end in ("<script>", "<style media='x'>", "<textarea>"):
+        assert ex(body.format(to_the_end)) == "one"
+    assert ex("<video-list><p>one</p></video-list><select-box>two</select-box>") == "one\n\ntwo"
+    assert ex("<object>" * 50_000 + "text" + "<svg>" * 50_000).endswith("text")
