@@ -71,7 +71,7 @@ NUMBER = re.compile("[0-9]{2,}")
 
 
 class Block:
-    """A run of text between block elements: text, length of its linked part, token, marks of the elements around it, elements before it."""
+    """A run of text between block elements: text, length of its linked part, token, whether it is in an aside, an article, a main element, elements before it."""
 
     __slots__ = ("after", "article", "aside", "linked", "main", "text", "token")
 
@@ -104,12 +104,11 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
 
     tokens: list[int] = []
     blocks: list[Block] = []
-    # tag, path, aside, article number, main number
-    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
+    # tag, path, aside, article, main
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     parts: list[str] = []
     linked = 0
     in_link = 0
-    articles = mains = 0
 
     def flush() -> None:
         nonlocal linked
@@ -199,12 +198,10 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
             elif words & ARTICLE_WORDS:
                 shy -= {"header", "main"}
             aside = aside or hidden or tag in ASIDE or tag == "header" and not article or bool(shy)
-            if not aside and (tag == "article" or "articlebody" in words) and not article:
-                articles += 1
-                article = articles
-            elif not aside and (tag == "main" or "main" in words or words & ARTICLE_WORDS and block) and not main:
-                mains += 1
-                main = mains
+            if not aside and (tag == "article" or "articlebody" in words):
+                article = True
+            elif not aside and (tag == "main" or "main" in words or words & ARTICLE_WORDS and block):
+                main = True
         in_link += tag == "a"
         stack.append((tag, path, aside, article, main))
     if at < len(page):
@@ -268,13 +265,8 @@ def extract(page: str, template: list[tuple[int, int, int, float]]) -> str:
     tokens, blocks = parse(page)
     data = [b for b in blocks if not b.aside]
     for kind in ("article", "main"):
-        sizes: Counter = Counter()
-        for b in data:
-            if n := getattr(b, kind):
-                sizes[n] += len(b.text)
-        if sizes:
-            best = max(sizes, key=lambda n: (sizes[n], -n))
-            return "\n\n".join(b.text for b in data if getattr(b, kind) == best)
+        if named := [b.text for b in data if getattr(b, kind)]:
+            return "\n\n".join(named)
     # nothing names the article: slots between the skeleton's elements, without boilerplate and those that are mostly links
     boiler, skeleton = valid_template(all_tokens(tokens, blocks), template) if template else (set(), set())
     data = [b for b in data if b.token not in boiler]

@@ -192,3 +192,12 @@ def test_html_raw_elements_without_end():
         assert ex(body.format(to_the_end)) == "one"
     assert ex("<video-list><p>one</p></video-list><select-box>two</select-box>") == "one\n\ntwo"
     assert ex("<object>" * 50_000 + "text" + "<svg>" * 50_000).endswith("text")
+
+
+def test_html_article_in_parts():
+    """All articles of a page, or else all its content elements, are kept in page order; asides, teasers and comments go."""
+    ex = lambda page: html_extract.extract(page, [])
+    parts = "<p>menu</p><{0}><p>one</p></{1}><p>between</p><{0}><p>two, which is longer</p><{0}><p>inner</p></{1}><p>end</p></{1}><{0}><p>three</p></{1}>"
+    for tag in ("article", "div class=content", "section itemprop=articleBody"):
+        assert ex(parts.format(tag, tag.split()[0])).split("\n\n") == ["one", "two, which is longer", "inner", "end", "three"], tag
+    assert ex("<main><article><p>one</p></article><article class=teaser><p>no</p></article><article class=comment><p>no</p></article><aside><article><p>no</p></article></aside><article><p>two</p></article></main>") == "one\n\ntwo"
