@@ -3,7 +3,8 @@
 Base patterns give spans of four kinds; they always stay. Besides, a semi-Markov model reads the
 surroundings of every place that could belong to an entity. Candidate segments of tokens are scored
 whole, by features of the complete span (its shape, check digits, length, neighbours, cue words),
-and dynamic programming over segments of bounded length chooses boundaries and kinds jointly. The
+and dynamic programming over segments of bounded length, and whole key-like runs of any length,
+chooses boundaries and kinds jointly. The
 weights are trained here by conditional likelihood, on sentences that a seeded generator writes.
 """
 
@@ -16,6 +17,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from .common import map_text, table
 #: Kinds in their order; the base knows the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: No entity has more tokens or characters.
+#: No entity has more tokens or characters, but for one that is a whole RUN.
 MAX_TOKENS = 24
 MAX_CHARS = 80
 #: Training: sentences written, passes, step size, strength of the prior.
@@ -98,6 +100,8 @@ NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}")
 INTERNATIONAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CARD_FULL = re.compile(r"[0-9](?:[ .-]?[0-9])+")
 TOKENLIKE = re.compile(r"[A-Za-z0-9_-]{20,}")
+#: A whole run that is shaped like a key; it is a candidate at any length.
+RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{18,}[A-Za-z0-9]")
 DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
 #: Words before a span that speak for a kind.
 CUES = {
@@ -143,7 +147,7 @@ def span_features(text: str, a: int, b: int, cue: frozenset[str]) -> list[float]
         len(d) > 15,
         sum(c.isalpha() for c in s) / len(s),
         s.count(" ") / 4,
-        len(s) / MAX_CHARS,
+        min(len(s) / MAX_CHARS, 1.0),
         s.count("(") != s.count(")") or s.count("[") != s.count("]"),
         *(float(k in cue) for k in KINDS),
     ]
@@ -160,9 +164,11 @@ class Lattice:
 
 
 def lattice(text: str, a: int, b: int) -> Lattice:
-    """All segments within text[a:b] that could be an entity: bounded, on one line, with an anchor, letters or digits at both ends."""
+    """All segments within text[a:b] that could be an entity: bounded or a whole RUN, on one line, with an anchor, letters or digits at both ends."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
     anchors = [m.start() for m in ANCHOR.finditer(text, a, b)]
+    runs = {m.start(): m.end() for m in RUN.finditer(text, a, b)}
+    ending = {e: j for j, (_, e) in enumerate(tokens)} if runs else {}
     first, last, rows = [], [], []
     for i, (s, _) in enumerate(tokens):
         if not OPENS.match(text, s):
@@ -170,7 +176,8 @@ def lattice(text: str, a: int, b: int) -> Lattice:
         k = bisect_left(anchors, s)
         if k == len(anchors):
             break
-        if anchors[k] - s > MAX_CHARS:
+        run = runs.get(s, s)
+        if anchors[k] - s > MAX_CHARS and run <= anchors[k]:
             continue
         cue = frozenset(kind for t0, t1 in tokens[max(0, i - 6) : i] for kind, words in CUES.items() if text[t0:t1].lower() in words)
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
@@ -182,6 +189,10 @@ def lattice(text: str, a: int, b: int) -> Lattice:
             first.append(i)
             last.append(j)
             rows.append(span_features(text, s, e, cue))
+        if run > anchors[k] and (run - s > MAX_CHARS or ending[run] >= i + MAX_TOKENS):
+            first.append(i)
+            last.append(ending[run])
+            rows.append(span_features(text, s, run, cue))
     return Lattice(tokens, first, last, np.array(rows, float).reshape(-1, len(FEATURES)))
 
 
@@ -330,19 +341,20 @@ def trained_weights(sentences: int = SENTENCES, passes: int = PASSES) -> np.ndar
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of the text within MAX_CHARS of an anchor; no entity reaches outside them."""
+    """The parts of the text within MAX_CHARS of an anchor or of a RUN with a digit; no entity reaches outside them."""
     out: list[list[int]] = []
-    for m in ANCHOR.finditer(text):
+    runs = [m for m in RUN.finditer(text) if DIGIT.search(m[0])]
+    for m in merge(ANCHOR.finditer(text), runs, key=re.Match.start):
         a, b = max(0, m.start() - MAX_CHARS), min(len(text), m.end() + MAX_CHARS)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: the base and what the model adds where no base span is."""
+    """Base spans, and all spans: the base and what the model adds where no base span is, or around those that lie in a secret."""
     base = base_spans(text)
     added = []
     for a, b in stretches(text):
@@ -351,11 +363,14 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]
     ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     starts = [a for a, _ in taken]
 
-    def free(a: int, b: int) -> bool:
+    def free(a: int, b: int, kind: str) -> bool:
         k = bisect_left(starts, b)
-        return k == 0 or ends[k - 1] <= a
+        if k == 0 or ends[k - 1] <= a:
+            return True
+        before = bisect_left(starts, a)
+        return kind == "secret" and ends[k - 1] <= b and (before == 0 or ends[before - 1] <= a)
 
-    return base, sorted(base + [s for s in added if free(s[0], s[1])], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return base, sorted(base + [s for s in added if free(*s)], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:

@@ -168,6 +168,26 @@ def test_model_finds_and_leaves():
     assert right / total > 0.9 and right / given > 0.9
 
 
+def test_keys_of_any_length():
+    """A key is found and redacted whole however often its letters and digits alternate."""
+    weights, rng = pii.trained_weights(), random.Random(8)
+    anything = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for lead in ('the token = "{}" of', 'api key = "{}".', "secret {} and more"):
+        for signs, n, times in (("0123456789abcdef", 40, 200), ("0123456789abcdef", 64, 200), ("0123456789abcdef", 128, 50), (anything, 100, 50), (anything, 1000, 5)):
+            for _ in range(times):
+                key = "".join(rng.choice(signs) for _ in range(n))
+                text = lead.format(key)
+                base, spans = pii.all_spans(text, weights)
+                # digits that pass for a card stay one, also where they open the key
+                assert pii.redacted(text, spans) in {lead.format(f"[{k}]") for k in ("SECRET", "CARD")} and set(base) <= set(spans), text
+                a = text.index(key)
+                assert (a, a + n, "secret") in spans, text
+    key = "a1" * 20 + "b" * 300 + "2c" * 20
+    assert pii.redacted(f"key: {key} x", pii.all_spans(f"key: {key} x", weights)[1]) == "key: [SECRET] x"
+    for clean in ("commit " + "a1" * 20, "sha " + "9f" * 32):
+        assert pii.all_spans(clean, weights)[1] == [], clean
+
+
 def test_decode_is_the_best_of_all_segmentations():
     """Against every segmentation of short texts."""
     weights = pii.trained_weights()
