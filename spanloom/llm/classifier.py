@@ -25,7 +25,7 @@ from .common import map_text, table
 from .training import held_out, labelled_sample
 
 #: The model is fitted on at most this many labelled documents.
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 4_000
 BUCKETS = 1 << 17
 DIM = 8
 ORDERS = (3, 4)

@@ -114,6 +114,14 @@ def test_sample_is_bounded_and_never_held_out(spark):
     assert len(rows) == 50 and not any(r.h for r in rows)
 
 
+def test_classifier_fits_on_four_thousand(spark, monkeypatch):
+    ids = spark.range(7000).selectExpr("id AS doc_id")
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda data, *_: seen.append(len(data)))
+    classifier.fit(ids.selectExpr("doc_id", "concat('word ', doc_id) AS text"), ids.selectExpr("doc_id", "doc_id % 2 AS quality"))
+    assert seen == [4000]
+
+
 def id_col():
     from pyspark.sql import functions as F
 
