@@ -31,14 +31,14 @@ def stream_session(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_dedupe(spark, sf_dir):
     """Events without repeated ids."""
-    return st.drain(st.deduplicated(st.event_stream(spark, sf_dir), "event_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return st.drain(st.deduplicated(st.event_stream(spark, sf_dir), "event_id", None)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT a.event_id AS view_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
 def stream_interval_join(spark, sf_dir):
     """Clicks within two hours of a view of the same user."""
     side = lambda kind, p: st.event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(*[F.col(c).alias(p + c) for c in ("event_id", "user_id", "ts")])
-    pairs = st.drain(st.interval_join(side("view", "l_"), side("click", "r_"), "user_id", "2 hours"))
+    pairs = st.drain(st.interval_join(side("view", "l_"), side("click", "r_"), "user_id", "2 hours", None))
     return pairs.select(F.col("l_event_id").alias("view_id"), F.col("r_event_id").alias("click_id"))
 
 

@@ -55,13 +55,19 @@ def session_counts(events: DataFrame, gap: str, key: str, watermark: str = "1 ho
     return events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deduplicated(events: DataFrame, row_id: str, watermark: str = "1 hour") -> DataFrame:
+def deduplicated(events: DataFrame, row_id: str, watermark: str | None = "1 hour") -> DataFrame:
+    """The first row of each id. Without a watermark no row is late: every id is remembered, and files may come in any order."""
+    if watermark is None:
+        return events.dropDuplicates([row_id])
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([row_id])
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, within: str, watermark: str = "1 hour") -> DataFrame:
-    """Pairs of a key whose right event comes at most ``within`` after the left one; both streams need ts and id columns named apart."""
-    a, b = left.withWatermark("l_ts", watermark), right.withWatermark("r_ts", watermark)
+def interval_join(left: DataFrame, right: DataFrame, key: str, within: str, watermark: str | None = "1 hour") -> DataFrame:
+    """Pairs of a key whose right event comes at most ``within`` after the left one; both streams need ts and id columns named apart.
+
+    Without a watermark no row is late: both sides are kept, and files may come in any order.
+    """
+    a, b = (left, right) if watermark is None else (left.withWatermark("l_ts", watermark), right.withWatermark("r_ts", watermark))
     return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("r_ts") >= F.col("l_ts")) & (F.col("r_ts") <= F.col("l_ts") + F.expr(f"interval {within}")))
 
 
