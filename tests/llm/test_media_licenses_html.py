@@ -131,7 +131,7 @@ def test_html_pages(spark, sf_dir):
 
 
 def test_html_single_page():
-    ex = lambda page: html_extract.extract(page, [])
+    ex = lambda page: html_extract.extract(page)[0]
     assert ex("") == "" and ex("plain &amp; simple &eacute; &#x41;") == "plain & simple é A"
     page = """<body class="has-sidebar"><header>Site</header><div id=cookie-notice>Accept</div><main><article class="post"><header class="entry-header"><h1>Title  here</h1></header>
     <p>One<b> bold</b> a&nbsp;b<br>line<p>Two <a href="x">link</a> text<script>var a = "<p>no</p>";</script><ul><li>item 1<li>item 2</ul><style>p{}</style><form>Search <input></form>
@@ -181,7 +181,7 @@ def test_html_copies_on_a_host(spark):
 
 def test_html_raw_elements_without_end():
     """A head, picture or frame without its end tag takes no text after it along; scripts and styles do, as in HTML."""
-    ex = lambda page: html_extract.extract(page, [])
+    ex = lambda page: html_extract.extract(page)[0]
     body = "<article><p>one</p>{}<p>two</p></article><p>menu</p>"
     for head in ("<head><title>t</title>", "<html><head><meta charset=x><title>t</title><script>if (a) '<div>no</div>'</script><link rel=y><style>p{}</style>", "<head><title>t</title></head>", "<title>t</title>", "<HEAD lang='a'><TITLE>t</TITLE><body class=b>"):
         assert ex(head + "<body>" + body.format("")) == ex(head + body.format("")) == "one\n\ntwo", head
@@ -196,8 +196,66 @@ def test_html_raw_elements_without_end():
 
 def test_html_article_in_parts():
     """All articles of a page, or else all its content elements, are kept in page order; asides, teasers and comments go."""
-    ex = lambda page: html_extract.extract(page, [])
+    ex = lambda page: html_extract.extract(page)[0]
     parts = "<p>menu</p><{0}><p>one</p></{1}><p>between</p><{0}><p>two, which is longer</p><{0}><p>inner</p></{1}><p>end</p></{1}><{0}><p>three</p></{1}>"
     for tag in ("article", "div class=content", "section itemprop=articleBody"):
         assert ex(parts.format(tag, tag.split()[0])).split("\n\n") == ["one", "two, which is longer", "inner", "end", "three"], tag
     assert ex("<main><article><p>one</p></article><article class=teaser><p>no</p></article><article class=comment><p>no</p></article><aside><article><p>no</p></article></aside><article><p>two</p></article></main>") == "one\n\ntwo"
+
+
+def bare(page: str) -> str:
+    """The page without any name that says what its parts are."""
+    return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', "")
+
+
+def test_html_template_decides(spark, sf_dir, monkeypatch):
+    """Without a single name in the markup the templates give the texts that the names give, by broadcast and by salted join."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [r for r in pages.collect() if r.url]
+    # addresses of the small table have few pages each: put them on three hosts
+    rows = [(r.page_id, f"http://host{i % 3}.example/{i}", r.html) for i, r in enumerate(rows)]
+    schema = "page_id long, url string, html string"
+    named = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect()}
+    unnamed = spark.createDataFrame([(i, u, bare(h)) for i, u, h in rows], schema)
+    for limit in (html_extract.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", limit)
+        got = html_extract.extract_pages(unnamed).collect()
+        assert len(got) == len(rows) and all(r.decided == "template" for r in got)
+        assert all(r.text == named[r.page_id].text for r in got)
+
+
+def test_html_few_pages_and_mirrors(spark):
+    """Hosts of one to five pages; one article under many addresses and markups; repeated rows; columns with names of results."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for n in range(1, 6):
+        for i in range(n):
+            body = [" ".join(word() for _ in range(30)) for _ in range(rng.randint(1, 3))]
+            rows.append((f"http://n{n}.example/{i}", f"<body><div><a href=/>Home</a> <a href=/{i}>{word()}</a></div><div id=x><h1>{body[0][:9]}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div></body>", "\n\n".join([body[0][:9].strip(), *body])))
+    # the same article in pages that differ in their menus only, and in nothing
+    text = ["mirrored words of the first part", "and of the second part"]
+    for i in range(6):
+        rows.append((f"http://mirror.example/{i}", f"<body><div><a href=/{i}>{word()}</a></div><div id=x>{''.join(f'<p>{t}</p>' for t in text)}</div></body>", "\n\n".join(text)))
+        rows.append((f"http://same.example/{i}", f"<body><div id=x>{''.join(f'<p>{t}</p>' for t in text)}</div></body>", "\n\n".join(text)))
+    rows += rows[:9]
+    df = spark.createDataFrame([(i, u, h, "mine", 7) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string, text string, host int")
+    got = {r.page_id: r for r in html_extract.extract_pages(df).collect()}
+    assert len(got) == len(rows)
+    for i, (u, _, want) in enumerate(rows):
+        assert got[i].text == want, (u, got[i])
+    assert {got[i].decided for i, (u, *_) in enumerate(rows) if "n1." in u or "same" in u} == {"names"}
+    assert {got[i].decided for i, (u, *_) in enumerate(rows) if "n5." in u or "mirror" in u} == {"template"}
+
+
+def test_html_misleading_names(spark):
+    """Cards of links that call themselves articles do not stand for the article, which nothing names."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(12):
+        body = [" ".join(word() for _ in range(40)) for _ in range(3)]
+        cards = "".join(f"<article><a href=/{k}>{word()} {word()}</a></article>" for k in range(rng.randint(2, 5)))
+        rows.append((i, "http://cards.example/", f"<div id=top>{cards}</div><div id=text>{''.join(f'<p>{b}</p>' for b in body)}</div>", "\n\n".join(body)))
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: r[3] for r in rows}
