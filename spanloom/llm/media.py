@@ -29,6 +29,12 @@ KEY_EVERY = 12
 CODEC = b"raw "
 #: Boxes that hold boxes; fixed by the format.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"))
+#: Flags of a fragment's header and run; fixed by the format.
+BASE_OFFSET, DESCRIPTION, DEFAULT_DURATION, DEFAULT_SIZE, DEFAULT_FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+DATA_OFFSET, FIRST_FLAGS, DURATIONS, SIZES, FLAGS, SHIFTS = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_KEY = 0x10000
+#: Boxes nest eight deep in the format; what is deeper is damage and not entered.
+DEEPEST = 32
 IDENTITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -86,21 +92,24 @@ def store(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, body start and body end of every box, outer before inner; a box cut short ends the walk of its level."""
-    stop = len(data) if stop is None else stop
-    while start + 8 <= stop:
+    """Path, body start and body end of every box, outer before inner, at any depth to DEEPEST; a box cut short ends the walk of its level."""
+    levels: list[tuple[tuple[bytes, ...], int, int]] = [((), start, len(data) if stop is None else stop)]
+    while levels:
+        outer, start, stop = levels.pop()
+        if start + 8 > stop:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and body + 8 <= stop:
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         end = stop if size == 0 else start + size
         if end < body or end > stop:
-            return
-        yield (kind,), body, end
-        if kind in CONTAINERS:
-            for path, a, b in walk(data, body, end):
-                yield (kind, *path), a, b
-        start = end
+            continue
+        path = (*outer, kind)
+        yield path, body, end
+        levels.append((outer, end, stop))
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            levels.append((path, body, end))
 
 
 @dataclass
@@ -126,36 +135,124 @@ def _table(data: bytes, at: int, end: int, columns: int, kind: str = ">u4", skip
     return np.frombuffer(data, kind, n * columns, at + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+class Damaged(ValueError):
+    """The boxes of a file do not fit together."""
+
+
+def _fragments(data: bytes, boxes: list[tuple[tuple[bytes, ...], int, int]], track_id: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Duration, sample starts, sizes and key frames of a track that is stored in movie fragments."""
+    defaults = {struct.unpack_from(">I", data, a + 4)[0]: struct.unpack_from(">III", data, a + 12) for p, a, _ in boxes if p == (b"moov", b"mvex", b"trex")}
+    starts, sizes, keys = [], [], []
+    duration = n_before = 0
+    moof = base = at = 0
+    own, length, size, flags = False, 0, 0, 0
+    for path, a, b in boxes:
+        if path == (b"moof",):
+            moof = a - 8
+        elif path == (b"moof", b"traf"):
+            own = False
+        elif path == (b"moof", b"traf", b"tfhd"):
+            bits, track = struct.unpack_from(">II", data, a)
+            own = track == track_id
+            length, size, flags = defaults.get(track, (0, 0, 0))
+            at = a + 8
+            base = moof
+            if bits & BASE_OFFSET:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 * bool(bits & DESCRIPTION)
+            if bits & DEFAULT_DURATION:
+                length, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if bits & DEFAULT_SIZE:
+                size, at = struct.unpack_from(">I", data, at)[0], at + 4
+            if bits & DEFAULT_FLAGS:
+                flags = struct.unpack_from(">I", data, at)[0]
+            at = base
+        elif path == (b"moof", b"traf", b"trun") and own:
+            bits, n = struct.unpack_from(">II", data, a)
+            p = a + 8
+            if bits & DATA_OFFSET:
+                at, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+            first_flags = flags
+            if bits & FIRST_FLAGS:
+                first_flags, p = struct.unpack_from(">I", data, p)[0], p + 4
+            columns = [f for f in (DURATIONS, SIZES, FLAGS, SHIFTS) if bits & f]
+            if n > ((b - p) // (4 * len(columns)) if columns else len(data) // max(size, 1)) or n_before + n > len(data):
+                raise Damaged("more samples than the file can hold")
+            rows = np.frombuffer(data, ">u4", n * len(columns), p).astype(np.int64).reshape(n, len(columns))
+            one = {f: rows[:, k] for k, f in enumerate(columns)}
+            each = one.get(SIZES, np.full(n, size, np.int64))
+            marks = one.get(FLAGS, np.full(n, flags, np.int64)).copy()
+            if n and bits & FIRST_FLAGS:
+                marks[0] = first_flags
+            ends = at + np.cumsum(each)
+            starts.append(ends - each)
+            sizes.append(each)
+            keys.append(n_before + np.flatnonzero((marks & NOT_KEY) == 0))
+            duration += int(one[DURATIONS].sum()) if DURATIONS in one else n * length
+            n_before += n
+            at = int(ends[-1]) if n else at
+    none = np.zeros(0, np.int64)
+    return duration, *(np.concatenate(x) if x else none for x in (starts, sizes, keys))
+
+
 def read(data: bytes) -> Track | None:
-    """The first track with samples, or None where there is none or its tables do not fit together."""
-    found: dict[bytes, tuple[int, int]] = {}
+    """The first track with samples, in one piece or in movie fragments; None where there is none or its tables do not fit together.
+
+    Counts in the file are held against its length before anything of that size is made.
+    """
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    boxes = []
     for path, a, b in walk(data):
-        if path == (b"moov", b"trak") and {b"stsz", b"stsc"} <= found.keys():
-            break
-        if path[:2] == (b"moov", b"trak"):
-            found[path[-1]] = (a, b)
-    try:
-        a, _ = found[b"mdhd"]
-        timescale, duration = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
-        a, b = found[b"stsd"]
-        codec, _, width, height = struct.unpack_from(">4s6xH16xHH", data, a + 12)
-        a, b = found[b"stsz"]
-        same, n = struct.unpack_from(">II", data, a + 4)
+        if path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak") and tracks:
+            tracks[-1].setdefault(path[-1], (a, b))
+        elif path[0] == b"moof" or path == (b"moov", b"mvex", b"trex"):
+            boxes.append((path, a, b))
+    for found in tracks:
+        try:
+            if track := _track(data, found, boxes):
+                return track
+        except (KeyError, struct.error, ValueError, IndexError, OverflowError):
+            continue
+    return None
+
+
+def _track(data: bytes, found: dict[bytes, tuple[int, int]], boxes: list) -> Track | None:
+    """The track of these boxes; None where it has no samples."""
+    a, _ = found[b"mdhd"]
+    timescale, duration = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+    a, _ = found[b"stsd"]
+    codec, _, width, height = struct.unpack_from(">4s6xH16xHH", data, a + 12)
+    a, b = found[b"stsz"]
+    same, n = struct.unpack_from(">II", data, a + 4)
+    if n == 0 and boxes:
+        a, _ = found[b"tkhd"]
+        duration, starts, sizes, keys = _fragments(data, boxes, struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0])
+    else:
+        # a sample has a byte of the file or an entry in its table; empty ones of one size have neither
+        if n > (len(data) // same if same else (b - a - 12) // 4):
+            raise Damaged("more samples than the file can hold")
         sizes = np.full(n, same, np.int64) if same else _table(data, a + 4, b, 1)[:, 0]
         chunk = _table(data, *found[b"co64"], 1, ">u8")[:, 0] if b"co64" in found else _table(data, *found[b"stco"], 1)[:, 0]
         runs = _table(data, *found[b"stsc"], 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunk) + 1]))
+        chunks = np.diff(np.r_[runs[:, 0], len(chunk) + 1])
+        if (chunks < 0).any() or chunks.sum() != len(chunk) or int((runs[:, 1] * chunks).sum()) != n:
+            raise Damaged("samples and chunks differ")
+        per_chunk = np.repeat(runs[:, 1], chunks)
         keys = _table(data, *found[b"stss"], 1)[:, 0] - 1 if b"stss" in found else np.arange(n)
-        if per_chunk.sum() != n or len(per_chunk) != len(chunk):
-            return None
         before = np.r_[0, np.cumsum(sizes)]
         firsts = np.r_[0, np.cumsum(per_chunk)][:-1]
         starts = np.repeat(chunk - before[firsts], per_chunk) + before[:-1]
-        if n and (starts[-1] + sizes[-1] > len(data) or keys.max(initial=0) >= n):
-            return None
-    except (KeyError, struct.error, ValueError, IndexError):
+    if not len(sizes):
         return None
-    return Track(codec.decode("latin-1"), width, height, timescale, duration, starts, sizes, keys, bool(n) and bool((starts[1:] == starts[:-1] + sizes[:-1]).all()))
+    if starts.min() < 0 or (starts + sizes).max() > len(data) or keys.max(initial=0) >= len(sizes) or keys.min(initial=0) < 0:
+        raise Damaged("samples beyond the file")
+    contiguous = bool((starts[1:] == starts[:-1] + sizes[:-1]).all())
+    # overlapping samples would multiply the file
+    if not contiguous and int(sizes.sum()) > len(data):
+        raise Damaged("samples overlap")
+    return Track(codec.decode("latin-1"), width, height, timescale, duration, starts, sizes, keys, contiguous)
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -235,6 +332,7 @@ def probe_media(df: DataFrame, media_col: str = "media", keep: Sequence[str] = (
 
 
 def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` stored as containers and read back; nulls, empty and long texts as in store_documents."""
     stored = store_documents(table(spark, sf_dir, "documents"))
     probed = probe_media(stored, keep=("doc_id", "n_bytes"))
     return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds")

@@ -14,10 +14,12 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import merge
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ BASE_KINDS = KINDS[:4]
 #: No entity has more tokens or characters, but for one that is a whole RUN.
 MAX_TOKENS = 24
 MAX_CHARS = 80
+#: Candidate segments scored at once.
+BLOCK = 4_096
 #: Training: sentences written, passes, step size, strength of the prior.
 SENTENCES = 400
 PASSES = 6
@@ -41,9 +45,10 @@ SEED = 5
 
 AT = re.compile("@")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# Nothing follows the repeated group, so it need never give back; possessive, it keeps no trail of a long match.
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
@@ -53,8 +58,17 @@ def luhn(digits: str) -> bool:
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
+NOT_DIGITS = re.compile("[^0-9]+")
+
+
 def digits_of(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return NOT_DIGITS.sub("", s)
+
+
+def at_most_255(digits: str) -> bool:
+    """Whether the number is; it may have any count of leading zeros."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -76,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         found += [(a, b, "email") for a, b in emails(text)]
     if DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(at_most_255(x) for x in m[0].split("."))]
         for m in CARD.finditer(text):
             d = digits_of(m[0])
             if 12 <= len(d) <= 19 and luhn(d):
@@ -98,7 +112,7 @@ EMAIL_HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(
 IP_FULL = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}")
 INTERNATIONAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-CARD_FULL = re.compile(r"[0-9](?:[ .-]?[0-9])+")
+CARD_FULL = re.compile(r"[0-9](?:[ .-]?[0-9])++")
 TOKENLIKE = re.compile(r"[A-Za-z0-9_-]{20,}")
 #: A whole run that is shaped like a key; it is a candidate at any length.
 RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{18,}[A-Za-z0-9]")
@@ -163,65 +177,83 @@ class Lattice:
     features: np.ndarray
 
 
+def candidates(text: str, a: int, b: int) -> Iterator[tuple[int, int, list[float]]]:
+    """Start, end and features, by start and then end, of all segments within text[a:b] that could be an entity.
+
+    A segment is bounded or a whole RUN, on one line, with an anchor, letters or digits at both ends. Only the
+    tokens around the current one are held: six before it for cue words, MAX_TOKENS from it on.
+    """
+    tokens = ((m.start(), m.end()) for m in TOKEN.finditer(text, a, b))
+    anchors = (m.start() for m in ANCHOR.finditer(text, a, b))
+    runs = ((m.start(), m.end()) for m in RUN.finditer(text, a, b))
+    anchor, run = next(anchors, None), next(runs, None)
+    before: deque[tuple[int, int]] = deque(maxlen=6)
+    ahead = deque(islice(tokens, MAX_TOKENS))
+    while ahead:
+        s, first_end = ahead[0]
+        while anchor is not None and anchor < s:
+            anchor = next(anchors, None)
+        if anchor is None:
+            return
+        while run is not None and run[0] < s:
+            run = next(runs, None)
+        run_end = run[1] if run is not None and run[0] == s else s
+        if OPENS.match(text, s) and (anchor - s <= MAX_CHARS or run_end > anchor):
+            cue = frozenset(kind for t0, t1 in before if t1 - t0 <= MAX_CHARS and (word := text[t0:t1].lower()) for kind, words in CUES.items() if word in words)
+            for t, e in ahead:
+                if e - s > MAX_CHARS or text[t] == "\n":
+                    break
+                if e > anchor and CLOSES.match(text, e - 1):
+                    yield s, e, span_features(text, s, e, cue)
+            if run_end > anchor and (run_end - s > MAX_CHARS or run_end > ahead[-1][1]):
+                yield s, run_end, span_features(text, s, run_end, cue)
+        before.append(ahead.popleft())
+        ahead.extend(islice(tokens, 1))
+
+
 def lattice(text: str, a: int, b: int) -> Lattice:
-    """All segments within text[a:b] that could be an entity: bounded or a whole RUN, on one line, with an anchor, letters or digits at both ends."""
+    """All candidates within text[a:b] at once, as training needs them."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-    anchors = [m.start() for m in ANCHOR.finditer(text, a, b)]
-    runs = {m.start(): m.end() for m in RUN.finditer(text, a, b)}
-    ending = {e: j for j, (_, e) in enumerate(tokens)} if runs else {}
-    first, last, rows = [], [], []
-    for i, (s, _) in enumerate(tokens):
-        if not OPENS.match(text, s):
-            continue
-        k = bisect_left(anchors, s)
-        if k == len(anchors):
-            break
-        run = runs.get(s, s)
-        if anchors[k] - s > MAX_CHARS and run <= anchors[k]:
-            continue
-        cue = frozenset(kind for t0, t1 in tokens[max(0, i - 6) : i] for kind, words in CUES.items() if text[t0:t1].lower() in words)
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            e = tokens[j][1]
-            if e - s > MAX_CHARS or text[tokens[j][0]] == "\n":
-                break
-            if e <= anchors[k] or not CLOSES.match(text, e - 1):
-                continue
-            first.append(i)
-            last.append(j)
-            rows.append(span_features(text, s, e, cue))
-        if run > anchors[k] and (run - s > MAX_CHARS or ending[run] >= i + MAX_TOKENS):
-            first.append(i)
-            last.append(ending[run])
-            rows.append(span_features(text, s, run, cue))
-    return Lattice(tokens, first, last, np.array(rows, float).reshape(-1, len(FEATURES)))
-
-
-def decode(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, str]]:
-    """The best segmentation: a token outside scores 0, an entity what its features weigh."""
-    if not lat.first:
-        return []
-    scores = lat.features @ weights
-    kind, gain = scores.argmax(axis=1), scores.max(axis=1)
-    ending: dict[int, list[int]] = {}
-    for x in np.flatnonzero(gain > 0).tolist():
-        ending.setdefault(lat.last[x], []).append(x)
-    best, back = [0.0], [-1]
-    for j in range(len(lat.tokens)):
-        top, via = best[j], -1
-        for x in ending.get(j, ()):
-            if (v := best[lat.first[x]] + gain[x]) > top:
-                top, via = v, x
-        best.append(top)
-        back.append(via)
-    found, j = [], len(lat.tokens)
-    while j:
-        x = back[j]
-        if x < 0:
-            j -= 1
-            continue
-        found.append((lat.tokens[lat.first[x]][0], lat.tokens[lat.last[x]][1], KINDS[kind[x]]))
-        j = lat.first[x]
-    return found[::-1]
+    opening, ending = {s: i for i, (s, _) in enumerate(tokens)}, {e: j for j, (_, e) in enumerate(tokens)}
+    found = list(candidates(text, a, b))
+    return Lattice(tokens, [opening[s] for s, _, _ in found], [ending[e] for _, e, _ in found], np.array([f for *_, f in found], float).reshape(-1, len(FEATURES)))
+
+
+def decode(text: str, a: int, b: int, weights: np.ndarray) -> list[tuple[int, int, str]]:
+    """The best segmentation of text[a:b]: a token outside scores 0, an entity what its features weigh.
+
+    Candidates are scored in blocks. The program goes forward over their starts: it holds the best score of all that ends
+    at or before the start, and those of ends still ahead, each with the chain of spans behind it. So the memory is that of a block,
+    of the ends within an entity's reach and of the spans found, whatever the length of the text.
+    """
+    best: tuple[float, tuple | None] = (0.0, None)
+    ahead: dict[int, tuple[float, tuple]] = {}
+
+    def settle(start: int | None) -> None:
+        nonlocal best
+        for e in sorted(e for e in ahead if start is None or e <= start):
+            if (reached := ahead.pop(e))[0] > best[0]:
+                best = reached
+
+    found = candidates(text, a, b)
+    at = -1
+    while block := list(islice(found, BLOCK)):
+        scores = np.array([f for *_, f in block], float) @ weights
+        kind, gain = scores.argmax(axis=1), scores.max(axis=1)
+        for x in np.flatnonzero(gain > 0).tolist():
+            s, e, _ = block[x]
+            if s != at:
+                at = s
+                settle(s)
+            value = best[0] + float(gain[x])
+            if e not in ahead or value > ahead[e][0]:
+                ahead[e] = (value, (best[1], s, e, KINDS[kind[x]]))
+    settle(None)
+    out, node = [], best[1]
+    while node:
+        node, s, e, k = node
+        out.append((s, e, k))
+    return out[::-1]
 
 
 def gradient(lat: Lattice, gold: set[tuple[int, int, str]], weights: np.ndarray) -> np.ndarray:
@@ -340,17 +372,20 @@ def trained_weights(sentences: int = SENTENCES, passes: int = PASSES) -> np.ndar
 # The operator.
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
+def stretches(text: str) -> Iterator[tuple[int, int]]:
     """The parts of the text within MAX_CHARS of an anchor or of a RUN with a digit; no entity reaches outside them."""
-    out: list[list[int]] = []
-    runs = [m for m in RUN.finditer(text) if DIGIT.search(m[0])]
+    start = stop = None
+    runs = (m for m in RUN.finditer(text) if DIGIT.search(m[0]))
     for m in merge(ANCHOR.finditer(text), runs, key=re.Match.start):
         a, b = max(0, m.start() - MAX_CHARS), min(len(text), m.end() + MAX_CHARS)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+        if start is not None and a <= stop:
+            stop = max(stop, b)
+            continue
+        if start is not None:
+            yield start, stop
+        start, stop = a, b
+    if start is not None:
+        yield start, stop
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -358,7 +393,7 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]
     base = base_spans(text)
     added = []
     for a, b in stretches(text):
-        added += decode(lattice(text, a, b), weights)
+        added += decode(text, a, b, weights)
     taken = sorted((a, b) for a, b, _ in base)
     ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     starts = [a for a, _ in taken]
@@ -424,6 +459,7 @@ def redact_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op5_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all ``documents``; nulls, empty and long texts as in find_documents."""
     return find_documents(table(spark, sf_dir, "documents"))
 
 

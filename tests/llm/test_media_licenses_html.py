@@ -63,6 +63,62 @@ def test_media_damaged():
         media.probe(bytes(broken))
 
 
+def test_media_damaged_counts_and_nesting():
+    """Deep nests and counts beyond the file give no error, no large arrays and no track."""
+    import tracemalloc
+
+    nest = b""
+    for _ in range(3000):
+        nest = media.box(b"moov", nest)
+    data = media.store(media.padded(b"x" * 5000))
+    at = data.index(b"stsz") + 8
+    huge = [data[:at] + struct.pack(">II", size, n) + data[at + 8 :] for size in (0, 1, 576) for n in ((1 << 32) - 1, 1 << 31, len(data) + 1)]
+    for kind, first in ((b"stsc", 12), (b"stsc", 16), (b"stts", 8), (b"stss", 8), (b"stco", 8)):
+        k = data.index(kind) + first
+        huge.append(data[:k] + b"\xff" * 4 + data[k + 4 :])
+    tracemalloc.start()
+    assert media.read(nest) is None and media.probe(nest)[8] == len(nest)
+    for broken in huge[:9]:
+        assert media.read(broken) is None
+    for broken in huge:
+        media.probe(broken)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    # a second, sound track stands in for a damaged first
+    k = data.index(b"trak") - 4
+    size = struct.unpack_from(">I", data, k)[0]
+    both = media.box(b"moov", huge[0][k : k + size], data[k : k + size])
+    track = media.read(both + data[len(both) :] if len(both) < len(data) else both)
+    assert track is None or track.codec == "raw "
+
+
+def test_media_fragments():
+    """A file in movie fragments: defaults of the file, of the fragment and of the run."""
+    frames = [bytes([65 + k]) * (5 + k % 3) for k in range(7)]
+    entry = media.box(b"twos", struct.pack(">6xH16xHHIIIH32xHh", 1, 3, 5, 0, 0, 0, 1, 40, -1))
+    tables = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), entry), media.full(b"stsz", bytes(8)), media.full(b"stsc", bytes(4)), media.full(b"stco", bytes(4)))
+    head = media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0))
+    track_head = media.full(b"tkhd", struct.pack(">III", 0, 0, 9) + bytes(68))
+    data = media.box(b"moov", media.box(b"trak", track_head, media.box(b"mdia", head, media.box(b"minf", tables))), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 9, 1, 4, 5, 0x10000))))
+
+    def fragment(samples, columns, header=b"", flags=0):
+        def movie(offset):
+            run = media.full(b"trun", struct.pack(">Ii", len(samples), offset), struct.pack(">I", 0), columns, flags=0x5 | flags)
+            other = media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 3)), media.full(b"trun", struct.pack(">I", 2)))
+            return media.box(b"moof", other, media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 9), header, flags=0x8 if header else 0), run))
+
+        return movie(len(movie(0)) + 8) + media.box(b"mdat", *samples)
+
+    first, second = frames[:4], frames[4:]
+    data += fragment(first, b"".join(struct.pack(">I", len(f)) for f in first), flags=0x200)
+    data += fragment(second, b"".join(struct.pack(">II", 7, len(f)) for f in second), struct.pack(">I", 2), flags=0x300)
+    track = media.read(data)
+    assert media.payload(data, track) == b"".join(frames) and track.keys.tolist() == [0, 4]
+    assert (track.codec, track.timescale, track.duration) == ("twos", 10, 4 * 4 + 3 * 7)
+    for cut in range(0, len(data), 7):
+        media.probe(data[:cut])
+
+
 def test_media_documents(spark):
     texts = [(1, "é" * 300), (2, None), (3, ""), (3, "")]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'x' AS media", "1 AS feature")
