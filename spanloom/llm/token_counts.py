@@ -8,6 +8,8 @@ quantile, without a second look at the documents.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,25 +72,68 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """For every limit of a list, occurring as a length or not, one row: limit, docs_at_least, tokens_at_least, truncated_total, lost_total.
+
+    Each follows from the suffix sums of the next occurring length. Limits are a parameter (repeated ones count once); without documents all sums are 0.
+    """
+    wanted = sorted({int(x) for x in limits})
+    spark = sums.sparkSession
+    asked = spark.createDataFrame([(x,) for x in wanted], "limit long")
+    whole = sums.agg(F.coalesce(F.max(F.col("truncated_total") + F.col("lost_total")), F.lit(0)).alias("all_tokens"))
+    # no join: a length answers those limits between its predecessor and itself, and the least length stays for each limit
+    under = F.filter(F.array(*[F.lit(x).cast("long") for x in wanted]), lambda x: x <= F.col("n_tokens"))
+    nearest = (
+        sums.select(F.explode(under).alias("limit"), "n_tokens", F.struct("docs_at_least", "tokens_at_least", "truncated_total").alias("s"))
+        .groupBy("limit")
+        .agg(F.min("n_tokens").alias("n_tokens"), F.min_by("s", "n_tokens").alias("s"))
+    )
+    kept = F.coalesce(F.col("s.truncated_total") - (F.col("n_tokens") - F.col("limit")) * F.col("s.docs_at_least"), F.col("all_tokens"))
+    # whole is one row
+    return (
+        asked.join(F.broadcast(nearest), "limit", "left")
+        .crossJoin(F.broadcast(whole))
+        .select(
+            "limit",
+            F.coalesce("s.docs_at_least", F.lit(0)).cast("long").alias("docs_at_least"),
+            F.coalesce("s.tokens_at_least", F.lit(0)).cast("long").alias("tokens_at_least"),
+            kept.alias("truncated_total"),
+            (F.col("all_tokens") - kept).alias("lost_total"),
+        )
+    )
+
+
 def truncated_total(sums: DataFrame, limit: int) -> int:
     """Tokens that remain if every document is cut to ``limit``; exact for limits that no document has, too."""
-    nearest = sums.where(F.col("n_tokens") >= limit).orderBy("n_tokens").limit(1).collect()
-    if nearest:
-        r = nearest[0]
-        return r["truncated_total"] - (r["n_tokens"] - limit) * r["docs_at_least"]
-    total = sums.agg(F.max("truncated_total")).first()[0]
-    return total or 0
+    return at_limits(sums, [limit]).first()["truncated_total"]
+
 
+def quantiles(sums: DataFrame, shares: Sequence[float | str | Decimal]) -> DataFrame:
+    """``share, n_tokens``: the least length that at least that share of the documents do not exceed; null without documents.
 
-def quantile(sums: DataFrame, q: float) -> int | None:
-    """The least length that at least a share ``q`` of the documents do not exceed; None without documents."""
+    A share is the decimal number that it is written as (0.07 is 7/100), and its rank is found in whole numbers, so no rounding moves it.
+    """
+    wanted = sorted({(str(x), Fraction(str(x))) for x in shares}, key=lambda x: x[1])
+    if any(not 0 <= f <= 1 for _, f in wanted):
+        raise ValueError("shares must be from 0 to 1")
     n = sums.agg(F.max("docs_at_most")).first()[0]
-    if n is None:
-        return None
-    return sums.where(F.col("docs_at_most") >= q * n).agg(F.min("n_tokens")).first()[0]
+    # a share of 0 asks for the least length
+    ranks = [(name, max(1, -(-f.numerator * n // f.denominator)) if n else None) for name, f in wanted]
+    asked = sums.sparkSession.createDataFrame(ranks, "share string, rank long")
+    if not n:
+        return asked.select("share", F.lit(None).cast("long").alias("n_tokens"))
+    reached = F.filter(F.array(*[F.lit(r).cast("long") for _, r in ranks]), lambda r: r <= F.col("docs_at_most"))
+    found = sums.select(F.explode(F.array_distinct(reached)).alias("rank"), "n_tokens").groupBy("rank").agg(F.min("n_tokens").alias("n_tokens"))
+    return asked.join(F.broadcast(found), "rank").select("share", "n_tokens")
+
+
+def quantile(sums: DataFrame, q: float | str | Decimal) -> int | None:
+    """One of ``quantiles``; None without documents."""
+    return quantiles(sums, [q]).first()["n_tokens"]
 
 
 def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix sums over the token lengths of all ``documents``; null and empty texts have length 0, no documents give no rows."""
     return suffix_sums(histogram(token_lengths(table(spark, sf_dir, "documents"))))
 
 

@@ -85,3 +85,29 @@ def test_histogram_of_documents(spark, sf_dir):
     encoder = bpe.worker_encoder(None)
     known = [len(whole(encoder, t or "")) for t in texts]
     assert {r.n_tokens: (r.n_docs, r.truncated_total) for r in sums.collect()} == {n: (known.count(n), sum(min(x, n) for x in known)) for n in set(known)}
+
+
+def test_quantiles_and_limits(spark):
+    """Against a sorted list for many shares and sizes, and against direct sums for every limit."""
+    import random
+    from decimal import Decimal
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 99, 100):
+        known = sorted(rng.choice((k + 1, rng.randint(0, 50))) for k in range(n)) if n != 100 else list(range(1, 101))
+        lengths = spark.createDataFrame([(x, "own", 1) for x in known], "n_tokens long, n_docs string, block int")
+        sums = token_counts.suffix_sums(token_counts.histogram(lengths)).cache()
+        shares = [f"{k / 200:.3f}" for k in range(201)] + ["0.0000000001", Decimal("0.333333333333333333333"), 0.07, 0.55]
+        got = {r.share: r.n_tokens for r in token_counts.quantiles(sums, shares).collect()}
+        for q in shares:
+            assert got[str(q)] == known[max(0, -(-Fraction(str(q)) * n // 1) - 1)], (n, q)
+        limits = [*range(0, 120, 7), 10**9]
+        rows = {r.limit: r for r in token_counts.at_limits(sums, limits).collect()}
+        assert len(rows) == len(limits)
+        for limit, r in rows.items():
+            at = [x for x in known if x >= limit]
+            kept = sum(min(x, limit) for x in known)
+            assert (r.docs_at_least, r.tokens_at_least, r.truncated_total, r.lost_total) == (len(at), sum(at), kept, sum(known) - kept)
+        sums.unpersist()
+    assert token_counts.quantile(token_counts.suffix_sums(token_counts.histogram(lengths.limit(0))), 0.5) is None
