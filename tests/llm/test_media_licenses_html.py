@@ -153,7 +153,7 @@ def test_license_base_fuzz():
 
 def test_license_labels():
     scan = lambda t: licenses.scan_text(t, licenses.build_index())
-    for label, text, _ in licenses.TEMPLATES:
+    for label, text, _ in (*licenses.TEMPLATES, *licenses.FULL_TEXTS):
         got = scan(f"Some words before. {text.upper()} and words after")
         assert label in got[5].split(",") and got[6] == 1.0
     assert scan("Ungte mit. Die license of the bus was released under the tree, with rights to copy software")[5] == ""
@@ -162,6 +162,36 @@ def test_license_labels():
     assert scan("Licensed under CC BY-NC 4.0.")[4:6] == ("cc-by", "cc-by,cc-by-nc")
 
 
+def test_license_words_are_the_files_own():
+    """A template is found by the rarest of its words that the file has: it may lose its rarest ones, shift, and stand among others, wherever it is."""
+    rng = random.Random(6)
+    base = licenses.build_index()
+    for label, text, keys in licenses.FULL_TEXTS:
+        words = licenses.file_words(text)
+        needed = {w for k in keys for w in k.split()}
+        rarest = sorted((w for w in set(words) if w not in needed), key=lambda w: (-base.idf[w], w))[:2]
+        edited = [w for w in words if w not in rarest]
+        for _ in range(2):
+            edited.insert(rng.randrange(len(edited)), "edited")
+        keep = all(f" {k} " in f" {' '.join(edited)} " for k in keys)
+        found = licenses.scan_words(["lorem"] * 5000 + edited + ["ipsum"] * 5000, base)[1]
+        assert (label in found) or not keep, label
+    # how rare words are in a corpus decides what is looked up, not what is found
+    other = licenses.build_index(frequencies={w: rng.randrange(1000) for w in base.postings}, documents=1000)
+    for _ in range(300):
+        parts = [rng.choice((" ".join(rng.sample(sorted(base.postings), 30)), rng.choice(licenses.FULL_TEXTS)[1], rng.choice(licenses.TEMPLATES)[1], "cc by general public license")) for _ in range(3)]
+        words = licenses.file_words(" ".join(parts))
+        one, two = (licenses.scan_words(words, index) for index in (base, other))
+        assert sorted(one[0]) == sorted(two[0]) == plain_places(" ".join(words))[1]
+        assert {k for k, v in one[1].items() if v == 1.0} == {k for k, v in two[1].items() if v == 1.0}
+
+
+def test_license_word_frequencies(spark):
+    df = spark.createDataFrame([("cc by CC",), ("by the",), (None,), ("",)], "text string").repartition(3)
+    assert licenses.word_frequencies(df, frozenset(("cc", "by", "gnu"))) == ({"cc": 1, "by": 2}, 4)
+    assert licenses.word_frequencies(df.limit(0), frozenset(("cc",))) == ({}, 0)
+
+
 def test_license_documents(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in licenses.op7_rare_token_index(spark, sf_dir).collect():
