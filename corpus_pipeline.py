@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, classifier, mixing, pii, simhash
-from spanloom.llm.common import table
+from spanloom.llm.common import local_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,18 +61,29 @@ def shared_folder(spark: SparkSession) -> str:
     if base is None:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="pipeline-")
+        base = local_folder("pipeline-")
     return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what one kept is written as Parquet to the shared folder and read again by the next."""
+    """All stages in order; what one kept is written as Parquet to the shared folder and read again by the next.
+
+    Once a stage is written, what its predecessor kept is deleted, so that one copy of the corpus remains: that of the last stage's input,
+    which the result reads.
+    """
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

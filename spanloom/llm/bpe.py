@@ -6,7 +6,7 @@ in a window that grows until its first and last token are those that both sides
 
 Why that is exact. (1) A window only begins and ends at places that the pre-tokenizer treats alike
 in any surroundings: where it always splits (before white space that follows anything else, between
-letters, digits and other signs), or inside a run of one kind that it never splits. (2) Inside one
+letters, digits and other signs), or inside a run of one kind: it splits a run of white space before its last sign at most, and both sides of a cut see that alike. (2) Inside one
 pre-token, a token sequence is the BPE encoding if and only if every two neighbours are the
 encoding of their own text. Neighbours within the left part, the window and the right part come
 from real encodings, and the two pairs at the window's edges are pairs of the left and right
@@ -19,6 +19,7 @@ import hashlib
 import os
 import unicodedata
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,9 @@ from .common import bound_batches, map_text, table
 LEAF_CHARS = 16_384
 #: Tokens on each side of a join in the first window; each further window has twice as many.
 WINDOW_TOKENS = 8
+#: With more characters than this in a call, leaves are encoded by so many threads at once (the encoder works outside the interpreter's lock).
+PARALLEL_CHARS = 1 << 20
+THREADS = 4
 VOCABULARY = "byte_bpe_50k.json"
 #: Unicode White_Space; fixed by the standard.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
@@ -63,7 +67,7 @@ def steady(before: str, after: str) -> bool:
     """Whether a cut between these two characters is treated alike in any surroundings."""
     a, b = kind(before), kind(after)
     if a == "S":
-        return False
+        return b == "S"
     if b == "S" or a == b:
         return b != "O" or after != "'"
     return not (a == "O" and b == "L")
@@ -88,11 +92,22 @@ class TreeEncoder:
             token = self.tokenizer.id_to_token(i) or ""
             self.bytes.append(token.encode() if token in self.special else bytes(byte[c] for c in token))
         self.decimal = [str(i) for i in range(size)]
+        self.pool: ThreadPoolExecutor | None = None
         self.windows = 0  # encoded again so far, for tests and tuning
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _leaf_ids(self, leaves: list[str]) -> list[list[int]]:
+        """Ids of all leaves; those of giant texts in parallel, so that one such text does not hold up its task."""
+        if sum(map(len, leaves)) <= PARALLEL_CHARS or len(leaves) < 2 * THREADS:
+            return self._ids(leaves)
+        if self.pool is None:
+            self.pool = ThreadPoolExecutor(THREADS)
+        share = -(-len(leaves) // (4 * THREADS))
+        parts = [leaves[k : k + share] for k in range(0, len(leaves), share)]
+        return [ids for part in self.pool.map(self._ids, parts) for ids in part]
+
     def _units(self, text: str) -> list[str]:
         """The text cut at special tokens, which always stand alone."""
         units, found = [text], [s for s in self.special if s in text]
@@ -122,7 +137,7 @@ class TreeEncoder:
                 plan.append((unit, len(leaves), spans))
                 leaves += [unit[a:b] for a, b in spans]
             plans.append(plan)
-        ids = self._ids(leaves)
+        ids = self._leaf_ids(leaves)
         out = []
         for plan in plans:
             row: list[int] = []
@@ -279,6 +294,7 @@ def encode_and_digest(df: DataFrame, text_col: str = "text", keep: Sequence[str]
 
 
 def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all ``documents``; nulls, empty and long texts as in digest_documents."""
     return digest_documents(table(spark, sf_dir, "documents"))
 
 

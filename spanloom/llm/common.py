@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -25,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches within BATCH_ROWS and BATCH_BYTES, and decoded Parquet batches within READER_ROWS, for the rest of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
+    """Keep Arrow batches within BATCH_ROWS and BATCH_BYTES, and decoded Parquet batches within READER_ROWS.
+
+    Spark reads these settings when a plan runs, so they can neither be given for one DataFrame nor be put back here. They are only
+    ever lowered, and always to the same values, so that the order of calls makes no difference.
+    """
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        now = str(spark.conf.get(key))
+        if not (now.isdigit() and 0 < int(now) <= bound):
+            spark.conf.set(key, str(bound))
 
 
 def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
@@ -77,6 +84,13 @@ def map_text(
     return source.mapInArrow(run, schema)
 
 
+def local_folder(prefix: str) -> str:
+    """A folder of this machine, for a local master only; it goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the reliable checkpoint folder; the plan behind them is cut.
 
@@ -88,7 +102,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            folder = local_folder("checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -143,6 +143,8 @@ def run_links(fp: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS, long_ru
     return np.concatenate(left), np.concatenate(right)
 
 
+#: Fingerprints of more rows than this are told their class by a broadcast.
+HOT_ROWS = 1_000_000
 #: Up to this many removed ids (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 EDGES = "u long, v long"
@@ -205,7 +207,6 @@ def hamming_edges(fps: DataFrame, max_bits: int = MAX_BITS, section: int = SECTI
     else:
         rows = rows.select("fp", "m", "k", F.lit(0).alias("p"), F.lit(0).alias("q"))
     dealt = rows.repartition("m", "k", "p", "q").sortWithinPartitions("m", "k", "p", "q")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.mapInArrow(_search(max_bits), EDGES)
 
 
@@ -222,7 +223,17 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     joined = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", "n", "root")
     least = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     named = joined.where("root is not null or n > 1").join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))
+    # a fingerprint of very many rows (empty texts, mass copies) is no shuffle key: there are few such, so they are broadcast
+    hot = groups.where(F.col("n") > HOT_ROWS).select("fp")
+    heavy = hot.count()
+    if heavy:
+        known = named.join(hot, "fp", "left_semi")
+        if heavy <= BROADCAST_IDS:
+            hot, known = F.broadcast(hot), F.broadcast(known)
+        found = prints.join(hot, "fp", "left_semi").join(known, "fp", "left").unionByName(prints.join(hot, "fp", "left_anti").join(named, "fp", "left"))
+    else:
+        found = prints.join(named, "fp", "left")
+    return found.select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -247,6 +258,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of all ``documents``; nulls, empty texts and repeated rows as in near_duplicate_classes."""
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

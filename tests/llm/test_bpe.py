@@ -111,3 +111,22 @@ def test_quantiles_and_limits(spark):
             assert (r.docs_at_least, r.tokens_at_least, r.truncated_total, r.lost_total) == (len(at), sum(at), kept, sum(known) - kept)
         sums.unpersist()
     assert token_counts.quantile(token_counts.suffix_sums(token_counts.histogram(lengths.limit(0))), 0.5) is None
+
+
+def test_white_space_runs_and_threads(monkeypatch):
+    """Cuts within runs of white space, tiny leaves, and leaves encoded by threads: always the ids of the whole text."""
+    import random
+
+    rng = random.Random(3)
+    path = bpe.default_vocabulary()
+    signs = ["\n", " ", "  ", "\t", "\r\n", "\u3000", "\xa0", " " * 17] * 3 + ["a", "word", "é", "1", "'s", "'ll", "...", "<|endoftext|>", "漢字"]
+    tiny = [bpe.TreeEncoder(path, leaf, window) for leaf, window in ((3, 1), (5, 1), (7, 2))]
+    for k in range(1500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 60)))
+        assert tiny[k % 3].encode([text])[0] == tiny[0].tokenizer.encode(text, add_special_tokens=False).ids, text
+    # a window within a long run settles at once
+    encoder = bpe.TreeEncoder(path, 1000)
+    assert encoder.encode([" " * 50_000])[0] == encoder.tokenizer.encode(" " * 50_000, add_special_tokens=False).ids and encoder.windows < 200
+    monkeypatch.setattr(bpe, "PARALLEL_CHARS", 1000)
+    text = " ".join(rng.choice(("some", "words", "123", "\n\n", "é")) for _ in range(20_000))
+    assert encoder.encode([text, "", text[:50]]) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text[:50])] and encoder.pool is not None

@@ -96,3 +96,12 @@ def test_components(spark):
     assert {r.node: r.root for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 7, 8: 7, 7: 7}
     path = spark.range(200).selectExpr("id AS u", "id + 1 AS v")
     assert {r.root for r in connected_components(path).collect()} == {0}
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    """Rows of a fingerprint that very many share get the same class by the other way."""
+    df = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'one two three four five' ELSE concat('some words of ', id) END AS text")
+    plain = sorted(map(tuple, simhash.near_duplicate_classes(df).collect()))
+    for hot in (0, 50):
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        assert sorted(map(tuple, simhash.near_duplicate_classes(df).collect())) == plain
