@@ -509,9 +509,11 @@ def articles(pages: DataFrame, found: DataFrame, hosts: DataFrame, size: int, ur
     # copies in other tasks are equal rows
     once = per_page.dropDuplicates(["host", "slot", "page"])
     slots = once.groupBy("host", "slot").agg(F.max("depth").alias("depth"), F.sum(F.round("weight", 3).cast("decimal(38,3)")).cast("double").alias("weight"), F.count(F.lit(1)).alias("n"))
-    whole = slots.where("slot = 0").select("host", F.col("weight").alias("all"))
-    held = slots.where("slot <> 0").join(whole, "host").join(hosts, "host").where((F.col("all") > 0) & (F.col("weight") >= HOLDS * F.col("all")) & (F.col("n") >= SHARE * F.col("pages")))
-    return held.groupBy("host").agg(F.max_by("slot", F.struct("depth", "weight", "slot")).alias("article"))
+    # one pass: a host's slots, no more than its template's elements and those around them, are judged within its row
+    hosted = slots.groupBy("host").agg(F.collect_list(F.struct("depth", "weight", "slot", "n")).alias("slots")).join(hosts, "host")
+    whole = F.filter("slots", lambda s: s["slot"] == 0)[0]["weight"]
+    held = F.filter("slots", lambda s: (s["slot"] != 0) & (s["weight"] >= HOLDS * F.col("all")) & (s["n"] >= SHARE * F.col("pages")))
+    return hosted.withColumn("all", whole).where("all > 0").select("host", F.array_max(held)["slot"].alias("article"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
