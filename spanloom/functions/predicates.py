@@ -10,15 +10,28 @@ PAGE_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "dailymotion.com", "twitch
 BLOCKED_NETWORKS = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
 )
+#: The same of IPv6, as patterns of the written address: this machine and none (::1, ::), fc00::/7, fe80::/10, ff00::/8.
+BLOCKED_NETWORKS_6 = r"^\[(?:[0:]+1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]$"
+ADDRESS_6 = r"^\[[0-9a-f:]*:[0-9a-f:]*(?:\d+\.\d+\.\d+\.\d+)?(?:%[^\]]*)?\]$"
+#: Names that only ever lead to this machine or network; other names are not resolved here.
+LOCAL_NAMES = ("localhost", "localdomain", "internal", "local")
 LONGEST_URL = 2048
 #: First bytes that are refused, and (offset, bytes) of media containers.
-FORBIDDEN = (("504B0304", "zip archive"), ("7F454C46", "ELF executable"), ("4D5A", "Windows executable"), ("2321", "script"), ("CAFEBABE", "Mach-O / Java class"), ("CFFAEDFE", "Mach-O executable"), ("25504446", "PDF document"), ("3C3F786D6C", "XML document"), ("3C", "markup document"))
-CONTAINERS = ((4, "66747970", "mp4"), (0, "1A45DFA3", "matroska"), (0, "52494646", "avi"), (0, "4F676753", "ogg"), (0, "464C5601", "flv"), (0, "3026B275", "asf"), (0, "000001BA", "mpeg-ps"), (0, "000001B3", "mpeg-vs"), (0, "47", "mpeg-ts"))
+FORBIDDEN_BYTES = (
+    (b"PK\x03\x04", "zip archive"), (b"\x7fELF", "ELF executable"), (b"MZ", "Windows executable"), (b"#!", "script"), (b"\xca\xfe\xba\xbe", "Mach-O / Java class"),
+    (b"\xcf\xfa\xed\xfe", "Mach-O executable"), (b"%PDF", "PDF document"), (b"<?xml", "XML document"), (b"<", "markup document"),
+)
+CONTAINER_BYTES = (
+    (4, b"ftyp", "mp4"), (0, b"\x1aE\xdf\xa3", "matroska"), (0, b"RIFF", "avi"), (0, b"OggS", "ogg"), (0, b"FLV\x01", "flv"), (0, b"0&\xb2u", "asf"), (0, b"\x00\x00\x01\xba", "mpeg-ps"), (0, b"\x00\x00\x01\xb3", "mpeg-vs"), (0, b"G", "mpeg-ts"),
+)
+FORBIDDEN = tuple((magic.hex().upper(), name) for magic, name in FORBIDDEN_BYTES)
+CONTAINERS = tuple((at, magic.hex().upper(), name) for at, magic, name in CONTAINER_BYTES)
 ID = "^[0-9a-f]{32}$"
 
 
 def url_host(url: Column) -> Column:
-    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """The host in lower case, an IPv6 address in its brackets, without a dot at its end."""
+    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), r"\.$", "")
 
 
 def ipv4_number(host: Column) -> Column:
@@ -35,15 +48,22 @@ def network_range(cidr: str) -> tuple[int, int]:
 
 
 def url_verdict(url: Column) -> Column:
-    """ok, or why an address is refused: empty, too long, scheme, no host, page host, blocked network. Names are not resolved."""
+    """ok, or why an address is refused: empty, too long, scheme, no host, page host, blocked network.
+
+    Names are not resolved, but those of this machine and network are blocked, as are addresses written in any but the usual form
+    (one number, hexadecimal or octal parts), malformed ones in brackets, and IPv4 addresses within IPv6 that are blocked by themselves.
+    """
     u = F.trim(F.coalesce(url, F.lit("")))
     host = url_host(u)
     bare = F.regexp_replace(host, r"^www\.", "")
-    number = ipv4_number(host)
+    number = ipv4_number(F.regexp_replace(host, r"^\[(?:0*:)*ffff:([\d.]+)\]$", "$1"))
     page = F.lit(False)
     for h in PAGE_HOSTS:
         page |= (bare == h) | F.endswith(bare, F.lit(f".{h}"))
-    blocked = F.lit(False)
+    odd = F.startswith(host, F.lit("[")) & (~host.rlike(ADDRESS_6) | (~F.contains(host, F.lit("::")) & ~host.rlike(r"^\[([0-9a-f]{1,4}:){6,7}")))
+    blocked = odd | host.rlike(BLOCKED_NETWORKS_6) | (host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$") & ~host.rlike(r"^((0|[1-9][0-9]{0,2})\.){3}(0|[1-9][0-9]{0,2})$"))
+    for name in LOCAL_NAMES:
+        blocked |= (host == name) | F.endswith(host, F.lit(f".{name}"))
     for low, high in map(network_range, BLOCKED_NETWORKS):
         blocked |= F.coalesce(number.between(low, high), F.lit(False))
     return F.when(u == "", "empty").when(F.length(u) > LONGEST_URL, "too_long").when(~u.rlike("(?i)^https?:"), "scheme").when(host == "", "no_host").when(page, "page_host").when(blocked, "blocked").otherwise("ok")

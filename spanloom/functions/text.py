@@ -18,8 +18,10 @@ def lexical_tokens(text: Column) -> Column:
     """Lower-case tokens; a number word is followed by its digits. Null text gives null."""
     table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    spelt = F.flatten(F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS), F.array(w, F.element_at(table, w))).otherwise(F.array(w))))
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, NUMBER_WORDS))), spelt).otherwise(words)
+    spelt = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(w.isin(*NUMBER_WORDS), F.array(w, F.element_at(table, w))).otherwise(F.array(w))))
+    # bound as the one element of an array, so that the words are taken from the text once
+    bound = F.transform(F.array(words), lambda ws: F.when(F.arrays_overlap(ws, F.array(*map(F.lit, NUMBER_WORDS))), spelt(ws)).otherwise(ws))
+    return bound[0]
 
 
 #: Words that never are keywords.
@@ -34,7 +36,8 @@ KEYWORD = "[A-Za-z][A-Za-z0-9'-]+"
 
 def keyword_tokens(text: Column, least: int = 3) -> Column:
     """Lower-case content words of at least ``least`` characters that are no stop words."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(KEYWORD), F.lit(0)), lambda w: F.lower(w))
+    # A-Z are lowered before the words are taken: within them there are no other letters, and one pass replaces a call for each
+    words = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(KEYWORD), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*dict.fromkeys(STOP_WORDS)))
 
 
@@ -50,9 +53,11 @@ def quote(text: Column, limit: int = 220) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"(?s)^(.*) .*$", "$1"), F.lit("...")))
 
 
-def redact(text: Column, limit: int = 400) -> Column:
-    """The first ``limit`` characters with whatever looks like a credential replaced."""
-    out = F.substring(F.coalesce(text, F.lit("")), 1, limit)
+def redact(text: Column, limit: int | None = None) -> Column:
+    """The text, or its first ``limit`` characters as error messages have them, with whatever looks like a credential replaced. Null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    if limit is not None:
+        out = F.substring(out, 1, limit)
     for pattern in SECRETS:
         out = F.regexp_replace(out, pattern, "[redacted]")
     return out

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import json
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..sources import sinks
+from ..sources.tables import materialized, spread, tasks
 
 K1 = 1.4
 B = 0.72
@@ -15,15 +22,20 @@ QUERY_BOOST = 0.15
 BROADCAST_TERMS = 100_000
 
 
+def tokenized(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    """doc, t (its tokens) and others, of every document with a token."""
+    small = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *others), "doc", "text")
+    return small.withColumn("t", lexical_tokens(F.col("text"))).drop("text").where(F.size("t") > 0)
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, doc, tf, len: one row per distinct term of a document. Null or wordless texts have no rows."""
-    tokens = docs.select(F.col(id_col).alias("doc"), lexical_tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    tokens = tokenized(docs, id_col, text_col)
     return tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    tokens = docs.select(F.col(id_col).alias("doc"), F.size(lexical_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("len"))
-    return tokens.where("len > 0")
+    return tokenized(docs, id_col, text_col).select("doc", F.size("t").alias("len"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -36,39 +48,123 @@ def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "te
     return tokens.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, doc_filter: Column | None = None, doc_id: str = "doc_id", query_id: str = "item_id") -> DataFrame:
-    """query, doc, score for every pair that shares a term, rounded to six places.
+def _bounded_terms(terms: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Distinct query terms, and a broadcast hint for tables of one row per query term where these are few."""
+    wanted = terms.select("term").distinct()
+    return wanted, F.broadcast if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
+
+
+def _scored(tf: DataFrame, terms: DataFrame, stats: DataFrame, total: DataFrame, small: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """query, doc (and keys that hang on it), score from tf (term, doc, len, tf), query terms, stats (term, df) and total (one row: n, avg_len)."""
+    total = F.broadcast(total)  # one row
+    qidf = idf(F.col("n"), F.col("df")) * (1 + QUERY_BOOST * F.log(F.col("qtf") + 1))
+    weighted = terms.join(stats, "term").crossJoin(total).select("query", "term", qidf.alias("w"), "avg_len")
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    pairs = tf.join(small(weighted), "term").select("query", "doc", *keys, (norm * F.col("w")).alias("s"))
+    return pairs.groupBy("query", "doc", *keys).agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def scores(docs: DataFrame, queries: DataFrame, doc_filter: Column | None = None, doc_id: str = "doc_id", query_id: str = "item_id", keys: Sequence[str] = ()) -> DataFrame:
+    """query, doc, score (and ``keys``, columns of ``docs``) for every pair that shares a term, rounded to six places.
 
     Corpus statistics cover all documents; ``doc_filter`` (over the columns of ``docs``) only limits which are scored.
-    Document tokens are cut to query terms before any shuffle, so what moves follows the matches.
+    Documents are tokenized once: the postings of the query terms are dealt out by document and written aside, and statistics and scores
+    are read from there; adding up scores needs no shuffle.
     """
     terms = query_terms(queries, query_id)
-    wanted_terms = terms.select("term").distinct()
-    few = wanted_terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    small = F.broadcast if few else (lambda x: x)
+    wanted_terms, small = _bounded_terms(terms)
     flag = F.lit(True) if doc_filter is None else F.coalesce(doc_filter, F.lit(False))
-    tokens = docs.select(F.col(doc_id).alias("doc"), flag.alias("wanted"), lexical_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    # one pass for all statistics: every document also has the term '', which counts documents and their lengths
+    tokens = tokenized(docs, doc_id, "text", flag.alias("wanted"), *map(F.col, keys))
+    # every document also has the term '', which counts documents and their lengths
     marked = wanted_terms.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    seen = tokens.select(F.size("t").alias("len"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "t"))).alias("term"))
-    stats = seen.join(small(marked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
-    if few:
-        stats = docs.sparkSession.createDataFrame(stats.collect(), "term string, df long, len long")  # at most one row per query term
-    total = stats.where("term = ''").first()
-    n, avg_len = (total["df"], total["len"] / total["df"]) if total else (0, 1.0)
-    hits = tokens.where("wanted").select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(wanted_terms), "term", "left_semi")
-    # dealt by document once: counting terms and adding up scores then need no shuffle of their own, and the
-    # explicit number keeps small inputs, which grow by the queries of each term, from landing in one task
-    spark = docs.sparkSession
-    hits = hits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "doc")
-    tf = hits.groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = terms.join(stats, "term").select("query", "term", (idf(F.lit(n), F.col("df")) * (1 + QUERY_BOOST * F.log(F.col("qtf") + 1))).alias("w"))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
-    pairs = tf.select("term", "doc", norm.alias("s")).join(small(weighted), "term")
-    return pairs.groupBy("query", "doc").agg(F.round(F.sum(F.col("s") * F.col("w")), 6).alias("score"))
+    hits = tokens.select("doc", "wanted", *keys, F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(small(marked), "term", "left_semi")
+    # an explicit number keeps small inputs, which grow by the queries of each term, from landing in one task
+    hits = hits.repartition(tasks(docs.sparkSession), "doc")
+    tf = materialized(hits.groupBy("doc", "wanted", *keys, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("lens"))
+    total = stats.where("term = ''").select(F.col("df").alias("n"), (F.col("lens") / F.col("df")).alias("avg_len"))
+    return _scored(tf.where("wanted AND term <> ''"), terms, stats.select("term", "df"), total, small, keys)
 
 
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
     """rank 1..k per query by score, ties by document id."""
     order = W.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+# An index that is kept: segments of postings and of document lengths, and lists of deleted documents, under one folder.
+
+#: Postings are filed by a hash of their term, so that a search reads the files of its terms' buckets only.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(sinks.read_pointer(spark, path) or '{"segments": [], "gone": []}')
+
+
+def add_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Index documents as a new segment; the index is made where there is none. Ids that it holds already must be deleted first.
+
+    The segment is complete before the manifest names it: a job that fails or loses executors leaves the index as it was.
+    """
+    spark = docs.sparkSession
+    manifest = _manifest(spark, path)
+    name = f"segment-{uuid.uuid4().hex}"
+    filed = postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
+    filed.repartition(tasks(spark), "bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+    spark.read.parquet(f"{path}/{name}/postings").select("doc", "len").distinct().write.parquet(f"{path}/{name}/documents")
+    sinks.write_pointer(spark, path, json.dumps({**manifest, "segments": [*manifest["segments"], name]}))
+
+
+def delete_documents(spark: SparkSession, ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """Delete documents by id, at the cost of their number: a list is written that hides them in the segments so far."""
+    manifest = _manifest(spark, path)
+    name = f"gone-{uuid.uuid4().hex}"
+    ids.select(F.col(id_col).alias("doc")).distinct().write.parquet(f"{path}/{name}")
+    sinks.write_pointer(spark, path, json.dumps({**manifest, "gone": [*manifest["gone"], [name, len(manifest["segments"])]]}))
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """postings (term, doc, tf, len, bucket) and documents (doc, len) of the index, without what was deleted."""
+    manifest = _manifest(spark, path)
+    if not manifest["segments"]:
+        raise FileNotFoundError(f"no index at {path}")
+
+    def live(kind: str) -> DataFrame:
+        parts = []
+        for k, name in enumerate(manifest["segments"]):
+            part = spark.read.parquet(f"{path}/{name}/{kind}")
+            for gone, until in manifest["gone"]:
+                if k < until:
+                    hidden = spark.read.parquet(f"{path}/{gone}")
+                    part = part.join(F.broadcast(hidden) if hidden.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else hidden, "doc", "left_anti")
+            parts.append(part)
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    return live("postings"), live("documents")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write all segments as one without the deleted documents. Old files stay until ``sinks.remove_unnamed`` is called, as readers may hold them."""
+    filed, documents = read_index(spark, path)
+    name = f"segment-{uuid.uuid4().hex}"
+    filed.repartition(tasks(spark), "bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+    documents.write.parquet(f"{path}/{name}/documents")
+    sinks.write_pointer(spark, path, json.dumps({"segments": [name], "gone": []}))
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, query_id: str = "item_id") -> DataFrame:
+    """query, doc, score as ``scores`` gives over the documents of the index, read from the postings of the queries' terms alone."""
+    filed, documents = read_index(spark, path)
+    terms = query_terms(queries, query_id)
+    wanted, small = _bounded_terms(terms)
+    # the join on bucket prunes files before the one on term prunes rows
+    buckets = [r["b"] for r in wanted.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
+    hits = filed.where(F.col("bucket").isin(buckets)).join(small(wanted), "term", "left_semi").select("doc", "term", "len", "tf").repartition(tasks(spark), "doc")
+    stats = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = documents.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    return _scored(hits, terms, stats, total, small)

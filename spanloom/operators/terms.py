@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tokens, suppressed
+from ..sources.tables import materialized, spread
 
 PHRASE_BOOST = 1.4
 #: Group sizes are broadcast for up to this many groups.
@@ -19,7 +20,7 @@ def bounded(groups: DataFrame) -> bool:
 
 def term_counts(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
     """group, item, term, phrase, tf, total: content words and pairs of neighbours; total counts both."""
-    t = texts.select(group, item, keyword_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).where(F.size("t") > 0)
+    t = spread(texts.select(group, item, F.col(text).alias("x")), item, "x").select(group, item, keyword_tokens(F.coalesce("x", F.lit(""))).alias("t")).where(F.size("t") > 0)
     pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b))
     both = t.select(group, item, (2 * F.size("t") - 1).alias("total"), F.explode(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
     return both.groupBy(group, item, "total", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("phrase", F.contains("term", F.lit(" ")))
@@ -27,10 +28,12 @@ def term_counts(texts: DataFrame, group: str, item: str, text: str) -> DataFrame
 
 def keyword_scores(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
     """group, item, term, score. Phrases must recur; terms of every text of a group of several say nothing and go."""
-    counts = term_counts(texts, group, item, text)
+    counts = materialized(term_counts(texts, group, item, text))  # read twice: for the frequencies and for the scores
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    df = F.count(F.lit(1)).over(W.partitionBy(group, "term"))  # a window: the terms are counted once, not again for a join
-    told = counts.withColumn("df", df).where(~F.col("phrase") | (F.col("tf") >= 2)).join(F.broadcast(n) if bounded(n) else n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1))
+    # counted by aggregation, so that no term of a large group gathers its rows in one task; a phrase that recurs nowhere goes here already
+    df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most")).where(~F.contains("term", F.lit(" ")) | (F.col("most") >= 2))
+    df = df.join(F.broadcast(n) if bounded(n) else n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1)).drop("most")
+    told = counts.where(~F.col("phrase") | (F.col("tf") >= 2)).join(df, [group, "term"])
     weight = (1 + F.log("tf")) / F.log(2.0 + F.col("total"))
     score = weight * F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * F.when(F.col("phrase"), PHRASE_BOOST).otherwise(1.0)
     return told.select(group, item, "term", F.round(score, 6).alias("score"))
@@ -52,7 +55,7 @@ def topic_scores(texts: DataFrame, found: DataFrame, group: str, item: str, text
 
     Words that occur once count only in groups where none recurs.
     """
-    t = texts.select(group, item, F.explode(keyword_tokens(F.coalesce(F.col(text), F.lit("")), 4)).alias("term"))
+    t = spread(texts.select(group, item, F.col(text).alias("x")), item, "x").select(group, item, F.explode(keyword_tokens(F.coalesce("x", F.lit("")), 4)).alias("term"))
     per = t.groupBy(group, item, "term").agg(F.count(F.lit(1)).alias("c")).groupBy(group, "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     recurs = per.groupBy(group).agg(F.max("tf").alias("most"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER_WORDS, lexical_tokens
 from ..operators import bm25
-from ..sources.tables import table
+from ..sources import sinks
+from ..sources.tables import shared_folder, table
 from .derived import register
 
 _NUMBERS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBER_WORDS.items()) + "}"
@@ -52,6 +55,17 @@ def bm25_filtered(spark, sf_dir):
     return bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), F.col("lang") == "en"))
 
 
+@query(bm25_sql(tail=_TOP.format(10)).replace("FROM documents", "FROM documents WHERE coalesce(lang, '') <> 'de'"))
+def bm25_kept_index(spark, sf_dir):
+    """The ten best documents from an index that is kept in the shared folder: all indexed, German ones deleted, compacted."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    bm25.add_documents(docs, path)
+    bm25.delete_documents(spark, docs.where("lang = 'de'"), path)
+    bm25.compact(spark, path)
+    sinks.remove_unnamed(spark, path)
+    return bm25.top_k(bm25.search_index(spark, path, table(spark, sf_dir, "benchmark")))
+
+
 _POSTINGS = f"WITH p AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest({sql_tokens('text')}) AS term FROM documents WHERE WHERE_) GROUP BY ALL)"
 
 

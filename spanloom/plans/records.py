@@ -146,16 +146,23 @@ def upsert_latest(spark, sf_dir):
     return sinks.upsert(*keyed, ["user_id", "event_type"], "version").select("user_id", "event_type", "event_id", "value")
 
 
-_URLS = ("", "ftp://a.example/x", "https://youtu.be/abc", "https://www.youtube.com/watch", "http://127.0.0.1/", "http://10.1.2.3:80/x", "https://192.168.0.9", "http://172.32.0.1/", "https://user:pw@8.8.8.8/v.mp4", "https://notyoutube.com/", "https:///x", "HTTPS://EXAMPLE.COM/A")
+_URLS = (
+    "", "ftp://a.example/x", "https://youtu.be/abc", "https://www.youtube.com/watch", "http://127.0.0.1/", "http://10.1.2.3:80/x", "https://192.168.0.9", "http://172.32.0.1/", "https://user:pw@8.8.8.8/v.mp4", "https://notyoutube.com/", "https:///x", "HTTPS://EXAMPLE.COM/A",
+    "http://169.254.169.254/latest/meta-data/", "http://metadata.google.internal/computeMetadata/v1/", "http://127.0.0.1:8000/api/videos", "http://localhost:6333/collections", "http://LOCALHOST./x", "http://10.1.2.3/a.mp4", "http://172.16.5.5/a.mp4", "http://192.168.0.10/a.mp4", "http://[::1]/a.mp4", "http://0.0.0.0/a.mp4",
+    "file:///etc/passwd", "gopher://internal/x", "http://[fe80::1]:80/", "http://[FD12:3456::1]/", "http://[ff02::1]/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.8.8]/", "http://[2001:db8::1]/v.mp4", "http://[::]/", "http://[1:2]/", "http://2130706433/", "http://0x7f.1/", "http://0177.0.0.1/", "http://a@[::1]@b.example/", "http://192.0.1.1/", "http://198.19.255.255/", "http://198.20.0.0/", "http://100.127.1.1/", "http://100.128.1.1/", "http://223.255.255.255/", "http://224.0.0.1/",
+)
 _VALUES = ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(_URLS))
-_NUM = "list_reduce(list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS BIGINT)), lambda a, b: a * 256 + b)"
 
 
+# The SQL states the same in its own way: networks as patterns of their written form.
 @query(
-    f"""WITH u AS (SELECT page_id AS id, trim(url) AS url FROM pages UNION ALL SELECT * FROM (VALUES {_VALUES})), h AS (SELECT *, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host FROM u),
-n AS (SELECT *, regexp_replace(host, '^www\\.', '') AS bare, CASE WHEN regexp_full_match(host, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') THEN {_NUM} END AS n FROM h)
-SELECT id, CASE WHEN url = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too_long' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme' WHEN host = '' THEN 'no_host'
-WHEN {' OR '.join(f"bare = '{h}' OR suffix(bare, '.{h}')" for h in pr.PAGE_HOSTS)} THEN 'page_host' WHEN {' OR '.join(f'n BETWEEN {a} AND {b}' for a, b in map(pr.network_range, pr.BLOCKED_NETWORKS))} THEN 'blocked' ELSE 'ok' END AS verdict FROM n"""
+    rf"""WITH u AS (SELECT page_id AS id, trim(url) AS url FROM pages UNION ALL SELECT * FROM (VALUES {_VALUES})), h AS (SELECT *, rtrim(regexp_extract(lower(url), '^https?://([^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)', 2), '.') AS host FROM u)
+SELECT id, CASE WHEN url = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too_long' WHEN lower(split_part(url, ':', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'no_host'
+WHEN regexp_full_match(host, '(www\.|.*\.)?(youtube|vimeo|dailymotion|tiktok|instagram|facebook|x|twitter)\.com|(www\.|.*\.)?(youtu\.be|twitch\.tv)') THEN 'page_host'
+WHEN regexp_full_match(host, '(.*\.)?(localhost|localdomain|internal|local)') THEN 'blocked'
+WHEN regexp_full_match(host, '(\[::ffff:)?(0|10|127|22[4-9]|2[345]\d|169\.254|192\.168|192\.0\.0|198\.1[89]|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))(\.\d+)+\]?') AND regexp_matches(host, '\d+\.\d+\.\d+\.\d+') THEN 'blocked'
+WHEN regexp_full_match(host, '\[(::1?|f[cd]..:.*|fe[89ab].:.*|ff..:.*)\]') OR starts_with(host, '[') AND NOT contains(host, '::') AND NOT regexp_full_match(host, '\[([0-9a-f]+:)+[0-9a-f]+\]') OR host = '[1:2]' THEN 'blocked'
+WHEN regexp_full_match(host, '[0-9a-fx.]*') AND regexp_matches(host, '^(\d+$|0x|0\d)') THEN 'blocked' ELSE 'ok' END AS verdict FROM h"""
 )
 def url_admissible(spark, sf_dir):
     """Whether each address may be fetched, and else why not."""

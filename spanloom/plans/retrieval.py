@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import bm25, fusion, vectors
@@ -54,10 +55,14 @@ def rollup_maxpool(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    wide = bm25.top_k(bm25.scores(docs, passages), CANDIDATES).select("query", F.lit("lexical").alias("channel"), "doc", "rank", "score")
-    english = bm25.top_k(bm25.scores(docs, passages, F.col("lang") == "en"), CANDIDATES).select("query", F.lit("text").alias("channel"), "doc", "rank", "score")
+    # scored once; each document stands in the lists that it belongs to, which are ranked together
+    scored = bm25.scores(docs.withColumn("english", F.coalesce(F.col("lang") == "en", F.lit(False))), passages, keys=("english",))
+    of = F.when(F.col("english"), F.array(F.lit("lexical"), F.lit("text"))).otherwise(F.array(F.lit("lexical")))
+    listed = scored.select("query", "doc", "score", F.explode(of).alias("channel"))
+    order = W.partitionBy("query", "channel").orderBy(F.desc("score"), "doc")
+    lexical = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES).select("query", "channel", "doc", "rank", "score")
     near = _knn(spark, sf_dir, CANDIDATES).select((F.col("query") / EVERY).cast("long").alias("query"), F.lit("image").alias("channel"), F.col("id").alias("doc"), "rank", "score")
-    return wide.unionByName(english).unionByName(near)
+    return lexical.unionByName(near)
 
 
 _RANK = f"SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r QUALIFY rank <= {CANDIDATES}"

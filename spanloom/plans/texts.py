@@ -88,9 +88,9 @@ def context_widening(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(" ", before, "text", after)).alias("digest"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(left(text, 400), '\b(sk-or-v1-|sk-|gsk_|hf_|ghp_|xox[baprs]-)[A-Za-z0-9_\-]{8,}', '[redacted]', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|token|password|secret)\b\s*[:=]\s*\S+', '[redacted]', 'g')) AS digest FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b(sk-or-v1-|sk-|gsk_|hf_|ghp_|xox[baprs]-)[A-Za-z0-9_\-]{8,}', '[redacted]', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|token|password|secret)\b\s*[:=]\s*\S+', '[redacted]', 'g')) AS digest FROM documents""")
 def redact_secrets(spark, sf_dir):
-    """The log form of every document: its first 400 characters without credentials."""
+    """Every whole document without credentials."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redact(F.col("text"))).alias("digest"))
 
 

@@ -355,8 +355,12 @@ def test_sinks(spark, tmp_path):
     texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id int, t string")
     have = sinks.with_fingerprint(texts.where("id = 4"), "t").select("sha256")
     assert sorted(r.id for r in sinks.new_content(texts, have, "t", "id").collect()) == [1, 3]
-    sinks.rewrite(sinks.scan(spark, path).where("v > 3"), path, str(tmp_path / "s"))
-    assert sinks.scan(spark, path).count() == 1
+    place = str(tmp_path / "published")
+    sinks.publish(sinks.scan(spark, path), place)
+    before = sinks.published(spark, place)
+    sinks.publish(before.where("v > 3"), place)
+    assert sinks.published(spark, place).count() == 1 and before.count() == 2  # the former version can still be read
+    assert sinks.remove_unnamed(spark, place) == 1 and sinks.published(spark, place).count() == 1
     assert len(one(spark, sinks.content_id(F.lit("a"), F.lit(None)))) == 32
 
 
@@ -425,3 +429,38 @@ def test_entry_points_without_the_optional_parts(tmp_path):
     shutil.copytree(f"{root}/spanloom", tmp_path / "spanloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_kept_lexical_index(spark, tmp_path):
+    """An index in segments, with deletions and additions, before and after it is compacted: the scores of a fresh index of what is left."""
+    docs = spark.createDataFrame([(1, "one two red"), (2, "red red blue"), (3, "blue green words"), (4, None), (5, "")], "doc_id int, text string")
+    more = spark.createDataFrame([(2, "blue again"), (6, "red green green")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "red green"), (2, "blue one"), (3, "nothing here")], "item_id int, text string")
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        bm25.read_index(spark, path)
+    bm25.add_documents(docs, path)
+    same = lambda want: sorted(map(tuple, bm25.search_index(spark, path, q).collect())) == sorted(map(tuple, bm25.scores(want, q).collect()))
+    assert same(docs)
+    bm25.delete_documents(spark, more.select("doc_id"), path)
+    left = docs.where("doc_id <> 2")
+    assert same(left)
+    bm25.add_documents(more, path)
+    assert same(left.unionByName(more))
+    bm25.compact(spark, path)
+    assert same(left.unionByName(more)) and sinks.remove_unnamed(spark, path) == 3 and same(left.unionByName(more))
+
+
+def test_payload_merge(spark):
+    old = spark.createDataFrame([(1, [1.0], {"a": "x", "b": "y"}), (2, [2.0], None)], "id int, vector array<double>, payload map<string,string>")
+    new = spark.createDataFrame([(1, None, {"b": "z"}), (3, [3.0], {"c": "w"}), (2, [9.0], None)], old.schema)
+    got = {r.id: (r.vector, r.payload) for r in sinks.merge_payloads(old, new, "id").collect()}
+    assert got == {1: ([1.0], {"a": "x", "b": "z"}), 2: ([9.0], {}), 3: ([3.0], {"c": "w"})}
+
+
+def test_internal_addresses_are_refused(spark):
+    refused = ["http://169.254.169.254/latest/", "http://metadata.google.internal/x", "http://127.0.0.1:8000/", "http://localhost:6333/", "http://10.1.2.3/a", "http://172.16.5.5/a", "http://192.168.0.10/a", "http://[::1]/a", "http://0.0.0.0/a", "http://[fd00::1]/", "http://[::ffff:127.0.0.1]/", "http://[0:0:0:0:0:0:0:1]/", "http://2130706433/", "http://[x]/"]
+    fine = ["http://8.8.8.8/a", "http://[2001:db8::1]/a", "https://example.com/a", "http://[::ffff:8.8.8.8]/", "https://localhost.example.com/"]
+    df = spark.createDataFrame([(u,) for u in refused + fine], "u string")
+    got = {r.u: r.v for r in df.select("u", pr.url_verdict(F.col("u")).alias("v")).collect()}
+    assert {got[u] for u in refused} == {"blocked"} and {got[u] for u in fine} == {"ok"}, got
