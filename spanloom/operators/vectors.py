@@ -16,17 +16,8 @@ def block_of(row_id: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", row_id: str = "id", vector: str = "vec", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """query, id, score, rank: the k rows of largest dot product per query, ties by id; a query never finds its own id.
-
-    Both sides are cut into blocks by a hash, and every pair of blocks is one matrix product that
-    keeps k rows per query; a window then takes the best k of those. Products are of doubles,
-    rounded to six places. Null vectors are skipped.
-    """
-    q, v = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
-    nq, nv = (max(1, -(-d.count() // block)) for d in (q, v))
-    q = q.select(F.col(query_id).alias("q"), F.col(vector).alias("x"), block_of(query_id, nq).alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("bv"))
-    v = v.select(F.col(row_id).alias("i"), F.col(vector).alias("x"), block_of(row_id, nv).alias("bv"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"))
+def best_of(k: int, skip_self: bool):
+    """Maps a block of queries (q, x) and one of vectors (i, x) to the k rows of largest product per query."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "id": [], "score": []}
@@ -46,8 +37,23 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query",
                 out["score"] += row[near].tolist()
         return pd.DataFrame(out)
 
+    return best
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", row_id: str = "id", vector: str = "vec", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
+    """query, id, score, rank: the k rows of largest dot product per query, ties by id; a query never finds its own id.
+
+    Both sides are cut into blocks by a hash, and every pair of blocks is one matrix product that
+    keeps k rows per query; a window then takes the best k of those. Products are of doubles,
+    rounded to six places. Null vectors are skipped.
+    """
+    q, v = queries.where(F.col(vector).isNotNull()), vectors.where(F.col(vector).isNotNull())
+    nq, nv = (max(1, -(-d.count() // block)) for d in (q, v))
+    q = q.select(F.col(query_id).alias("q"), F.col(vector).alias("x"), block_of(query_id, nq).alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("bv"))
+    v = v.select(F.col(row_id).alias("i"), F.col(vector).alias("x"), block_of(row_id, nv).alias("bv"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"))
+
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((q, "q"), (v, "i"))]
-    found = q.groupBy("bq", "bv").cogroup(v.groupBy("bq", "bv")).applyInPandas(best, f"query {kinds[0]}, id {kinds[1]}, score double")
+    found = q.groupBy("bq", "bv").cogroup(v.groupBy("bq", "bv")).applyInPandas(best_of(k, skip_self), f"query {kinds[0]}, id {kinds[1]}, score double")
     return ranked(found, "query", "score", "id", k)
 
 

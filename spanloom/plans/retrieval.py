@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import bm25, fusion, vectors
+from ..operators import bm25, cells, fusion, vectors
 from ..operators import sequential as seq
-from ..sources.tables import table
+from ..sources.tables import materialized, table
 from .derived import SQL_SPANS, register, spans
 from .lexical import bm25_sql
 
@@ -46,6 +46,14 @@ def knn_filtered(spark, sf_dir):
     return _knn(spark, sf_dir, 10, F.col("label") < 3)
 
 
+@query()
+def knn_index(spark, sf_dir):
+    """The same ten from an index of cells that holds every vector; approximate, so it has no SQL and is held against knn_exact."""
+    v = _vectors(spark, sf_dir)
+    made = cells.fit(v)
+    return cells.search(v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query"), "vec"), materialized(cells.index(v, made)), made, 10)
+
+
 @query(f"WITH {_knn_sql(CANDIDATES)} SELECT query, label, max(score) AS score, arg_min(id, (-score, id)) AS best_child FROM k JOIN embeddings e ON e.vec_id = k.id GROUP BY 1, 2")
 def rollup_maxpool(spark, sf_dir):
     """The candidates' labels as parents: the best child of each."""

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import predicates as pr
 from spanloom.functions import text as tx
-from spanloom.operators import bm25, exports, fusion, intervals, numbers, records, sequential, signals, terms, vectors
+from spanloom.operators import bm25, cells, exports, fusion, intervals, numbers, records, sequential, signals, terms, vectors
 from spanloom.operators.online import Breaker, Bucket, Ewma
 from spanloom.sources import sinks, subtitles
 
@@ -179,6 +180,36 @@ def test_knn_against_numpy(spark):
     assert vectors.knn(q.limit(0), df, 5).count() == 0
 
 
+def test_cells_recall_against_exact(spark):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(1500, 64))
+    v[900:] = rng.normal(size=(12, 64))[rng.integers(0, 12, 600)] + 0.2 * v[900:]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "id long, vec array<float>")
+    q = df.where("id % 20 = 0").withColumnRenamed("id", "query")
+    exact = {(r.query, r.id) for r in vectors.knn(q, df, 10).collect()}
+    made = cells.fit(df)
+    index = cells.index(df, made)
+    assert index.count() == 1500
+    for block in (4096, 25):
+        found = {(r.query, r.id) for r in cells.search(q, index, made, 10, block=block).collect()}
+        assert len(found & exact) / len(exact) >= 0.9
+    # every cell probed: the exact rows, scores and ranks
+    whole = cells.search(q, index, replace(made, probes=len(made.centroids)), 10, block=100)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, vectors.knn(q, df, 10).collect()))
+
+
+def test_cells_of_copies_and_nothing(spark):
+    copies = spark.createDataFrame([(i, [1.0] * 8 if i % 3 else [float(i), 1.0] + [0.0] * 6) for i in range(300)], "id long, vec array<float>")
+    made = cells.fit(copies)
+    got = cells.search(copies.where("id % 20 = 0").withColumnRenamed("id", "query"), cells.index(copies, made), made, 5, block=20).collect()
+    assert {r.query for r in got} == set(range(0, 300, 20)) and len(got) == len({(r.query, r.id) for r in got}) == 75 and all(r.id != r.query for r in got)
+    none = copies.limit(0)
+    made = cells.fit(none)
+    assert cells.index(none, made).count() == 0
+    assert cells.search(copies.withColumnRenamed("id", "query"), cells.index(none, made), made, 5).count() == 0
+
+
 def test_hamming_against_brute_force(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(63) for _ in range(30)]
