@@ -34,16 +34,19 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1000) -> D
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote; complete mode keeps the last state."""
+    """Run a stream over all that is there now and return what it wrote; complete mode keeps the last state.
+
+    Each batch has a folder of its own by its number, so that a batch run again after a failure replaces what it wrote before.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(folder)
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/{number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(folder)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def tumbling_counts(events: DataFrame, width: str, key: str, watermark: str = "1 hour") -> DataFrame:
