@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -91,22 +93,45 @@ def local_folder(prefix: str) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the reliable checkpoint folder; the plan behind them is cut.
-
-    The folder is the one that the session or context names; only a local master gets one of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: the one that the session or context names; only a local master gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = local_folder("checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the reliable checkpoint folder; the plan behind them is cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder under the shared one for what a query writes and reads again; it is deleted when the driver ends with its JVM still up."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # a JVM that is gone
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(conf).delete(hadoop, True)
+
+    atexit.register(remove)
+    return path
+
+
 def hash_order(col: str):
     """A fixed pseudo-random order of rows by an id, the same on every run and at every size."""
     return F.xxhash64(F.lit("order"), F.col(col))
