@@ -119,8 +119,10 @@ def parse(page: str) -> tuple[list[int], list[Block], list[int]]:
     tokens: list[int] = []
     parents: list[int] = []
     blocks: list[Block] = []
-    # tag, path, aside, article, main, number of the element
-    stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, -1)]
+    # tag, path, aside, article, main, number of the element, place in the stack of the nearest block element at or above it
+    stack: list[tuple[str, int, bool, bool, bool, int, int]] = [("", 0, False, False, False, -1, 0)]
+    # where the open elements of each tag stand in the stack, so that no tag looks through it
+    opened: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -131,10 +133,7 @@ def parse(page: str) -> tuple[list[int], list[Block], list[int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                k = len(stack) - 1
-                while k and stack[k][0] not in BLOCKS:
-                    k -= 1
-                _, path, _, article, main, inside = stack[k]
+                _, path, _, article, main, inside, _ = stack[stack[-1][6]]
                 blocks.append(Block(text, linked, digest(text.encode(), path), stack[-1][2], article, main, len(tokens), inside))
         linked = 0
 
@@ -145,6 +144,14 @@ def parse(page: str) -> tuple[list[int], list[Block], list[int]]:
         if in_link:
             linked += len(decoded.strip())
 
+    def close(k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        nonlocal in_link
+        while len(stack) > k:
+            was = stack.pop()[0]
+            opened[was].pop()
+            in_link -= was == "a"
+
     in_head = False
     unclosed: set[str] = set()
     at = 0
@@ -176,32 +183,21 @@ def parse(page: str) -> tuple[list[int], list[Block], list[int]]:
             in_head = False
         block = tag in BLOCKS
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if block:
-                        flush()
-                    in_link -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-            else:
-                if block:
-                    flush()
+            if block:
+                flush()
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if block:
             flush()
-            closing = ("p", *CLOSED_BY_ITSELF.get(tag, ()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closing:
-                    in_link -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            # what closes by itself is a block element, so only the nearest one can be closed
+            if (k := stack[-1][6]) and (stack[k][0] == "p" or stack[k][0] in CLOSED_BY_ITSELF.get(tag, ())):
+                close(k)
         name, words, hidden = marks(m["attrs"])
-        _, path, aside, article, main, inside = stack[-1]
+        _, path, aside, article, main, inside, nearest = stack[-1]
         path = digest(f"{tag} {name}".encode(), path)
         tokens.append(path)
         parents.append(inside)
@@ -219,7 +215,8 @@ def parse(page: str) -> tuple[list[int], list[Block], list[int]]:
             elif not aside and (tag == "main" or "main" in words or words & ARTICLE_WORDS and block):
                 main = True
         in_link += tag == "a"
-        stack.append((tag, path, aside, article, main, len(tokens) - 1))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, path, aside, article, main, len(tokens) - 1, len(stack) if block else nearest))
     if at < len(page):
         add(page[at:])
     flush()
@@ -328,11 +325,12 @@ class Layout:
             inside[self.parents[i]] += inside[i]
         return {0: inside[-1]} | {slot: inside[i] for i, slot in self.slots.items() if inside[i] > 0}
 
-    def depth(self, slot_at: int) -> int:
-        n = 0
-        while slot_at >= 0:
-            slot_at, n = self.parents[slot_at], n + 1
-        return n
+    def depths(self) -> list[int]:
+        """How many elements hold each one, itself included."""
+        depth = [0] * (len(self.parents) + 1)
+        for i, up in enumerate(self.parents):
+            depth[i] = depth[up] + 1
+        return depth
 
     def within(self, slot_at: int) -> list[bool]:
         """For each block, whether the element holds it."""
@@ -497,7 +495,8 @@ def articles(pages: DataFrame, found: DataFrame, hosts: DataFrame, size: int, ur
                 if not raw.is_valid or not seen.first(host, key):
                     continue
                 layout = Layout(page.as_py(), template(raw, None))
-                depth = {slot: layout.depth(i) for i, slot in layout.slots.items()}
+                all_depths = layout.depths()
+                depth = {slot: all_depths[i] for i, slot in layout.slots.items()}
                 for slot, weight in layout.open_text().items():
                     for col, v in zip(rows, (host, key, _signed(slot), depth.get(slot, 0), weight), strict=True):
                         col.append(v)

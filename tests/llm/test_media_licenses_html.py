@@ -4,6 +4,7 @@ import os
 import random
 import re
 import struct
+import time
 from zlib import crc32
 
 import pytest
@@ -345,3 +346,22 @@ def test_html_misleading_names(spark):
         rows.append((i, "http://cards.example/", f"<div id=top>{cards}</div><div id=text>{''.join(f'<p>{b}</p>' for b in body)}</div>", "\n\n".join(body)))
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()
     assert {r.page_id: r.text for r in got} == {r[0]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize("markup", ["<span>{n}</b>", "<span>{n}<div></div>", "<div>x", "<ul><li>x", "<a href=x>", "</p>x"])
+def test_deep_and_stray_markup_takes_linear_time(markup):
+    n = 200_000
+    page = "".join(part * n for part in markup.split("{n}"))
+    started = time.monotonic()
+    tokens, blocks, parents = html_extract.parse(page)
+    layout = html_extract.Layout(page, html_extract.NOTHING)
+    layout.open_text()
+    assert len(layout.depths()) == len(parents) + 1 and len(tokens) == len(parents)
+    assert time.monotonic() - started < 30  # quadratic walks took a minute for a tenth of it
+    assert sum(b.text.count("x") for b in blocks) == (0 if "href" in page else page.count("x"))
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://h/a", "<p>one</p>"), (1, "http://h/a", "<p>one</p>"), (None, None, None)], "page_id long, url string, html string")
+    got = html_extract.extract_pages(pages.selectExpr("*", "'x' AS text", "'y' AS host", "1 AS id", "2 AS tokens", "3 AS page", "4 AS decided")).collect()
+    assert sorted((str(r.page_id), str(r.url), r.text) for r in got) == [("1", "http://h/a", "one"), ("1", "http://h/a", "one"), ("None", "None", "")]
