@@ -112,8 +112,15 @@ EMAIL_HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(
 IP_FULL = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}")
 INTERNATIONAL = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-CARD_FULL = re.compile(r"[0-9](?:[ .-]?[0-9])++")
+#: Card numbers as they are printed: one separator throughout, groups of four, or of four, six and five.
+CARD_FULL = re.compile(r"[0-9]{4}(?:([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|([ .-])[0-9]{6}\2[0-9]{5})|[0-9]{12,19}")
 TOKENLIKE = re.compile(r"[A-Za-z0-9_-]{20,}")
+#: The shapes of bounded entities; a key is a whole RUN.
+SHAPES = (EMAIL_FULL, EMAIL_HIDDEN, IP_FULL, NATIONAL, INTERNATIONAL, CARD_FULL)
+#: Digits beside a span, at once or behind a separator: it is a part of a row of numbers, or of one number.
+DIGITS_BEFORE = re.compile(r"[0-9][ .,/-]?\Z")
+DIGITS_AFTER = re.compile(r"[ .,/-]?[0-9]")
+DOT_AFTER = re.compile(r" ?[(\[]dot[)\]]")
 #: A whole run that is shaped like a key; it is a candidate at any length.
 RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{18,}[A-Za-z0-9]")
 DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
@@ -127,7 +134,7 @@ CUES = {
 }
 FEATURES = (
     "bias", "email", "email_hidden", "ip", "ip_range", "card", "card_luhn", "card_sixteen", "national", "international", "nine_to_fifteen", "date",
-    "token", "token_mixed", "joined_left", "joined_right", "few_digits", "many_digits", "letters", "spaces", "long", "unbalanced",
+    "token", "token_mixed", "joined_left", "joined_right", "digits_left", "digits_right", "few_digits", "many_digits", "letters", "spaces", "long", "unbalanced",
     *(f"cue_{k}" for k in KINDS),
 )
 
@@ -136,7 +143,8 @@ def span_features(text: str, a: int, b: int, cue: frozenset[str]) -> list[float]
     """Features of the whole span text[a:b] in its surroundings."""
     s = text[a:b]
     d = digits_of(s)
-    card = bool(CARD_FULL.fullmatch(s)) and 12 <= len(d) <= 19
+    left, right = bool(DIGITS_BEFORE.search(text[max(0, a - 2) : a])), bool(DIGITS_AFTER.match(text, b))
+    card = not left and not right and bool(CARD_FULL.fullmatch(s)) and 12 <= len(d) <= 19
     ip = bool(IP_FULL.fullmatch(s))
     token = bool(TOKENLIKE.fullmatch(s))
     before, after = text[a - 1 : a], text[b : b + 1]
@@ -156,7 +164,9 @@ def span_features(text: str, a: int, b: int, cue: frozenset[str]) -> list[float]
         token,
         token and bool(DIGIT.search(s)) and any(c.isalpha() for c in s),
         bool(before) and (before.isalnum() or before in "@+_%") or before in ".-" and a > 1 and text[a - 2].isalnum(),
-        bool(after) and (after.isalnum() or after in "@_") or after in ".-" and text[b + 1 : b + 2].isalnum(),
+        bool(after) and (after.isalnum() or after in "@_") or after in ".-" and text[b + 1 : b + 2].isalnum() or bool(DOT_AFTER.match(text, b)),
+        left,
+        right,
         len(d) < 7,
         len(d) > 15,
         sum(c.isalpha() for c in s) / len(s),
@@ -177,11 +187,16 @@ class Lattice:
     features: np.ndarray
 
 
+def reach(text: str, s: int, stop: int) -> int:
+    """How far an entity that opens at s can reach by its shape, before ``stop``; s if none can open there."""
+    return max((m.end() for shape in SHAPES if (m := shape.match(text, s, stop))), default=s)
+
+
 def candidates(text: str, a: int, b: int) -> Iterator[tuple[int, int, list[float]]]:
     """Start, end and features, by start and then end, of all segments within text[a:b] that could be an entity.
 
-    A segment is bounded or a whole RUN, on one line, with an anchor, letters or digits at both ends. Only the
-    tokens around the current one are held: six before it for cue words, MAX_TOKENS from it on.
+    A segment has one of SHAPES, a bounded length, an anchor and letters or digits at both ends, on one line; or it is a whole RUN. All others are
+    outside by definition. Only the tokens around the current one are held: six before it for cue words, MAX_TOKENS from it on.
     """
     tokens = ((m.start(), m.end()) for m in TOKEN.finditer(text, a, b))
     anchors = (m.start() for m in ANCHOR.finditer(text, a, b))
@@ -199,14 +214,18 @@ def candidates(text: str, a: int, b: int) -> Iterator[tuple[int, int, list[float
             run = next(runs, None)
         run_end = run[1] if run is not None and run[0] == s else s
         if OPENS.match(text, s) and (anchor - s <= MAX_CHARS or run_end > anchor):
-            cue = frozenset(kind for t0, t1 in before if t1 - t0 <= MAX_CHARS and (word := text[t0:t1].lower()) for kind, words in CUES.items() if word in words)
+            ends, far = [], reach(text, s, min(b, s + MAX_CHARS))
             for t, e in ahead:
-                if e - s > MAX_CHARS or text[t] == "\n":
+                if e > far or text[t] == "\n":
                     break
-                if e > anchor and CLOSES.match(text, e - 1):
+                if e > anchor and e != run_end and CLOSES.match(text, e - 1) and any(shape.fullmatch(text, s, e) for shape in SHAPES):
+                    ends.append(e)
+            if run_end > anchor:
+                ends.append(run_end)
+            if ends:
+                cue = frozenset(kind for t0, t1 in before if t1 - t0 <= MAX_CHARS and (word := text[t0:t1].lower()) for kind, words in CUES.items() if word in words)
+                for e in sorted(ends):
                     yield s, e, span_features(text, s, e, cue)
-            if run_end > anchor and (run_end - s > MAX_CHARS or run_end > ahead[-1][1]):
-                yield s, run_end, span_features(text, s, run_end, cue)
         before.append(ahead.popleft())
         ahead.extend(islice(tokens, 1))
 
@@ -332,6 +351,18 @@ def _decoy(rng: random.Random) -> str:
     )
 
 
+def _table(rng: random.Random) -> str:
+    """A row of plain numbers, as tables and lists have them."""
+    kind, sep = rng.randint(0, 3), rng.choice((" ", " ", ", ", "  ", ";", "/", "-"))
+    made = {
+        0: lambda: f"{rng.choice(('', '-'))}{rng.randint(0, 9)}.{_digits(rng, rng.randint(1, 6))}",
+        1: lambda: str(rng.randint(0, 99999)),
+        2: lambda: _digits(rng, 4),
+        3: lambda: f"{rng.randint(10, 999)}.{_digits(rng, rng.choice((2, 4)))}",
+    }[kind]
+    return sep.join(made() for _ in range(rng.randint(4, 12)))
+
+
 def written_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, set[tuple[int, int, str]]]]:
     """Sentences with entities and look-alikes, and the spans in them."""
     rng, out = random.Random(seed), []
@@ -347,7 +378,7 @@ def written_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, s
                 gold.add((len(text), len(text) + len(entity), kind))
                 text += entity + ('"' if lead.endswith('"') else "")
             else:
-                text += _decoy(rng)
+                text += _table(rng) if rng.random() < 0.3 else _decoy(rng)
             text += rng.choice((" ", ". ", ", "))
         out.append((text + _word(rng) + ".", gold))
     return out

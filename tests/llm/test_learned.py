@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -275,3 +276,32 @@ def test_personal_data_in_long_digit_texts():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 3 * peaks[0] + (1 << 20)
+
+
+def test_tables_of_numbers_hold_nothing():
+    """Rows of decimals and of whole numbers give no span but what the base patterns find."""
+    weights, rng = pii.trained_weights(), random.Random(3)
+    columns = (
+        lambda: f"{rng.random():.4f}", lambda: f"{rng.uniform(-100, 1000):.2f}", lambda: f"{rng.gauss(0, 1):.6f}", lambda: str(rng.randint(1000, 9999)), lambda: str(rng.randint(0, 99999)),
+        lambda: f"{rng.gauss(0, 1e5):e}", lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}",
+    )
+    for column in columns:
+        for sep in (" ", "\n", ", ", "\t", ";", "  "):
+            text = sep.join(column() for _ in range(2000))
+            base, spans = pii.all_spans(text, weights)
+            assert spans == base
+
+
+def test_cards_in_one_form():
+    weights = pii.trained_weights()
+    find = lambda t: [(t[a:b], k) for a, b, k in pii.all_spans(t, weights)[1]]
+    assert find("paid by card: 4929.9636.8986.1572 today") == [("4929.9636.8986.1572", "card")]
+    assert find("ratio 4929.9636 8986.1572 today") == [] and find("sums 0.4929.9636.8986.1572 and on") == []
+
+
+@pytest.mark.parametrize("part", ["a1", "+1", "+1 ", "1-", "1.2", "a@", "1 ", "1234 ", "a.b1.", "a1.b2@c3.d4 ", "(1) ", "[at]"])
+def test_long_odd_texts_take_linear_time(part):
+    weights = pii.trained_weights()
+    started = time.monotonic()
+    pii.all_spans(part * (200_000 // len(part)), weights)
+    assert time.monotonic() - started < 40  # alternating letters and digits took 74 seconds
