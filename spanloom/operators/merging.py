@@ -96,12 +96,3 @@ def recovered_json_column(text: Column) -> Column:
 
     return run(text)
 
-
-def clusters(df: DataFrame, vector: str, k: int, seed: int = 7) -> DataFrame:
-    """Adds cluster: k-means of array vectors, by Spark's parallel k-means; null vectors get none."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = df.where(F.col(vector).isNotNull()).withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", maxIter=20).fit(v)
-    return model.transform(v).drop("__v")

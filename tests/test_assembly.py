@@ -105,8 +105,3 @@ def test_merging(spark):
     words = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "g int, w string")
     assert sorted((r.g, r.title) for r in mg.titles(words, "g", "w", texts, "t").collect()) == [(1, "b, a"), (2, "Untitled section")]
     assert sorted((r.g, r.title) for r in mg.titles(words.limit(0), "g", "w", texts, "t").collect()) == [(1, "one two"), (2, "Untitled section")]
-    two = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(10)] + [(99, None)], "id int, v array<float>")
-    groups = {}
-    for r in mg.clusters(two, "v", 2).collect():
-        groups.setdefault(r.cluster, set()).add(r.id % 2)
-    assert sorted(map(sorted, groups.values())) == [[0], [1]]
