@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import sequential as seq
 from ..operators import signals as sg
 from ..sources.tables import table
@@ -137,11 +138,30 @@ def bucketed_activity(spark, sf_dir):
     return top.join(most, "kind").select("kind", "bucket", F.round(F.col("top") / F.col("most"), 6).alias("level"))
 
 
-@query()
+#: Running level and spread along each user's events, one row after the other.
+SQL_EWMA = f"""{SQL_SPANS}, e AS (SELECT user_id, id, "start", value / 500 AS d, row_number() OVER (PARTITION BY user_id ORDER BY "start", id) AS k FROM spans),
+lv AS (SELECT user_id, id, k, 0::DOUBLE AS spike, 0.05::DOUBLE * d AS level, 0.05::DOUBLE * abs(d - 0.05::DOUBLE * d) AS spread FROM e WHERE k = 1
+  UNION ALL SELECT user_id, e.id, e.k, CASE WHEN e.k > 12 AND d > level + 6 * spread + 0.02::DOUBLE THEN least(1, 4 * d) ELSE 0 END, level + 0.05::DOUBLE * (d - level),
+    spread + 0.05::DOUBLE * (abs(d - (level + 0.05::DOUBLE * (d - level))) - spread) FROM lv JOIN e USING (user_id) WHERE e.k = lv.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_EWMA} SELECT user_id, id, spike FROM lv")
 def ewma_spikes(spark, sf_dir):
     """Jumps of an event's value above the running level of its user."""
-    e = _positions(spark, sf_dir).withColumn("delta", F.col("value") / 500)
-    return seq.ewma_spikes(e, "user_id", "start", "id", "delta")
+    e = scans.numbered(spans(spark, sf_dir).select("user_id", "start", "id", (F.col("value") / 500).alias("delta")), "user_id", ["start", "id"])
+    return scans.spikes(e, "user_id", "id", "delta").select("user_id", "id", "spike")
+
+
+@query(f"""WITH RECURSIVE {SQL_EWMA}, w AS (SELECT user_id, greatest(0.25, (max("start") - min("start")) / 40) AS w FROM spans GROUP BY 1),
+j AS (SELECT e.user_id, e.id, e.k, e."start" AS t, d, spike, w FROM e JOIN lv USING (user_id, k) JOIN w USING (user_id)),
+s AS (SELECT *, TRUE AS kept, t + w AS due FROM j WHERE k = 1
+  UNION ALL SELECT j.*, j.t + 1e-6 >= s.due OR j.spike > 0, CASE WHEN j.t + 1e-6 >= s.due OR j.spike > 0 THEN j.t + j.w ELSE s.due END FROM s JOIN j USING (user_id) WHERE j.k = s.k + 1)
+SELECT user_id, id, spike, round(greatest(100 * d, 100 * spike), 6) AS signal FROM s WHERE kept""")
+def adaptive_frames(spark, sf_dir):
+    """Of each user's events as frames: a grid of about forty over their whole length, and every jump above the running level."""
+    e = spans(spark, sf_dir).select("user_id", "start", "id", (F.col("value") / 500).alias("delta"))
+    kept = scans.adaptive_samples(e, "user_id", "start", "id", "delta", target=40)
+    return kept.select("user_id", "id", "spike", F.round("signal", 6).alias("signal"))
 
 
 @query()
@@ -156,7 +176,11 @@ def optimal_cuts(spark, sf_dir):
     return seq.optimal_cuts(spans(spark, sf_dir).withColumn("q", F.least(F.col("value") / 500, F.lit(1.0))), "user_id", "start", "q", 5 * 86_400.0, 10 * 86_400.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_SPANS}, e AS (SELECT user_id, id, "start" AS t, row_number() OVER (PARTITION BY user_id ORDER BY "start", id) AS k FROM spans),
+s AS (SELECT *, TRUE AS kept, t AS last FROM e WHERE k = 1
+  UNION ALL SELECT e.*, e.t + 1e-6 >= s.last + 21600, CASE WHEN e.t + 1e-6 >= s.last + 21600 THEN e.t ELSE s.last END FROM s JOIN e USING (user_id) WHERE e.k = s.k + 1)
+SELECT user_id, id, t FROM s WHERE kept""")
 def grid_thinning(spark, sf_dir):
     """Events of each user at least six hours after the last one kept."""
-    return seq.grid_thinning(spans(spark, sf_dir), "user_id", "start", "id", 6 * 3600.0)
+    e = scans.numbered(spans(spark, sf_dir).select("user_id", "start", "id"), "user_id", ["start", "id"])
+    return scans.thinned(e, "user_id", "start", "id", 6 * 3600.0).drop("spike")

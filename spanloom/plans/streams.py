@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from ..streaming import stateful as st
 from .derived import register
+from .signals import SQL_EWMA
 
 QUERIES, ORACLES = {}, {}
 query = register(QUERIES, ORACLES)
@@ -42,7 +43,7 @@ def stream_interval_join(spark, sf_dir):
     return pairs.select(F.col("l_event_id").alias("view_id"), F.col("r_event_id").alias("click_id"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_EWMA} SELECT user_id, id, spike FROM lv")
 def stream_ewma(spark, sf_dir):
     """Jumps of each user's value, found online."""
     return st.drain(st.ewma_stream(st.event_stream(spark, sf_dir).withColumn("delta", F.col("value") / 500), "user_id", "event_id", "delta"))
