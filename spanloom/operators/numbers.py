@@ -1,14 +1,20 @@
 """Numbers said or written in running text, the labels that belong to them, and series made of both.
 
-All of it is column expressions: matches with their places come from splitting the text at a pattern, a spoken
-number is read by its scale groups, and labels meet numbers in a matching of greatest gain that keeps the order of both.
+A spoken number is read by its scale groups; labels meet numbers in a matching of greatest gain that keeps the order of both. What was
+said before decides on a repeated number and on a matching, so each text is read by one pass of Python in Arrow batches, in
+time that follows its length: only labels within reach of a number are compared. Series and statistics are column expressions.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Number words, scales and suffixes; the order of the suffixes decides what is read, so "5 thousand" is five t.
 SMALL = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -27,146 +33,152 @@ CURRENCY_WITHIN = 90
 _small = "|".join([*SMALL, *TENS])
 #: White space of any script; digits are 0 to 9.
 _space = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LABEL = rf"(?i)\b(?:{'|'.join(ORDINALS)}|q[1-4]|quarter{_space}+(?:one|two|three|four|[1-4]))\b"
-WRITTEN = rf"(?i)[$€£]?{_space}*(?:\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?){_space}*(?:{'|'.join(SUFFIXES)})?"
-SPOKEN = rf"(?i)(?<![a-z])(?:{_small})(?![a-z])(?:[^a-z0-9%$]+(?:{_small}|hundred|{'|'.join(GREAT)}|and)(?![a-z]))*"
-
-
-def lookup(table: dict, key: Column, type_: str) -> Column:
-    """The value of a key in a small fixed table, or null."""
-    pairs = [F.lit(x) for k, v in table.items() for x in (k, v)]
-    return F.try_element_at(F.create_map(*pairs), key).cast(type_)
-
-
-def places(text: Column, pattern: str) -> Column:
-    """``array<struct<place int, said string>>`` of all matches: each stands behind the texts between and the matches before it. Null text has none."""
-    text = F.coalesce(text, F.lit(""))
-    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(said)), said, lambda between, m: F.struct(F.length(between).alias("skip"), F.length(m).alias("n"), m.alias("said")))
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<place:int,said:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("place"), x["said"].alias("said")))).alias("out"),
-        ),
-    )
-    return walked["out"]
-
-
-def spoken_value(said: Column) -> Column:
+SPACES = re.compile(_space)
+LABEL = re.compile(rf"\b(?:{'|'.join(ORDINALS)}|q[1-4]|quarter{_space}+(?:one|two|three|four|[1-4]))\b", re.I)
+#: A number in digits from its first digit on; white space and a currency before it are looked for backwards, so that blanks are read once.
+WRITTEN = re.compile(rf"(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+(?:\.[0-9]+)?){_space}*(?:{'|'.join(SUFFIXES)})?", re.I)
+DIGITS = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")
+SUFFIX = re.compile(r"[A-Za-z%]+\Z")
+SPOKEN = re.compile(rf"(?<![a-z])(?:{_small})(?![a-z])(?:[^a-z0-9%$]+(?:{_small}|hundred|{'|'.join(GREAT)}|and)(?![a-z]))*", re.I)
+SCALE = re.compile(rf"\b({'|'.join(GREAT)})\b")
+DOLLARS = re.compile(r"\bdollars?\b")
+WORDS = re.compile("[a-z]+")
+_fields = [T.StructField("place", T.IntegerType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType())]
+FACTS = T.ArrayType(T.StructType(_fields))
+SAID = T.ArrayType(T.StructType([*_fields, T.StructField("label", T.StringType())]))
+Fact = tuple[int, float, str]
+
+
+def spoken_value(said: str) -> float:
     """The number that number words spell: scale words close groups, and within a group each "hundred" multiplies what stands before it.
 
     A group or hundred without anything before it counts as one. "and" and other words count nothing.
     """
-    scale = rf"\b(?:{'|'.join(GREAT)})\b"
-    said = F.lower(said)
-
-    def simple(part: Column) -> Column:
-        words = F.regexp_extract_all(part, F.lit("[a-z]+"), F.lit(0))
-        return F.aggregate(F.transform(words, lambda w: F.coalesce(lookup(SMALL | TENS, w, "double"), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-
-    def group(body: Column) -> Column:
-        parts = F.transform(F.split(body, r"\bhundred\b", -1), simple)
-        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0], lambda before, part: F.greatest(before, F.lit(1.0)) * 100 + part)
-
-    groups = F.transform(F.split(said, scale, -1), group)
-    scales = F.transform(F.regexp_extract_all(said, F.lit(scale), F.lit(0)), lambda w: lookup(GREAT, w, "double"))
-    values = F.zip_with(groups, scales, lambda g, s: F.coalesce(F.greatest(g, F.lit(1.0)) * s, g))
-    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-
-
-FACT = "array<struct<place:int,value:double,unit:string>>"
-
-
-def written_numbers(text: Column) -> Column:
-    """Numbers in digits, with currency, thousands and suffix; a digit right behind a q belongs to a label."""
-    found = F.filter(places(text, WRITTEN), lambda m: ~((F.lower(F.substring(text, m["place"], F.lit(1))) == "q") & (m["place"] > 0) & m["said"].rlike(r"^\d")))
-
-    def fact(m: Column) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(m["said"], r"\d[\d,]*(?:\.\d+)?", 0), ",", "")
-        suffix = F.lower(F.regexp_extract(m["said"], r"[A-Za-z%]+$", 0))
-        unit = F.when(suffix.isin("%", "percent"), "%").otherwise(F.regexp_extract(m["said"], "^[$€£]", 0))
-        return F.struct(m["place"].alias("place"), (digits.cast("double") * F.coalesce(lookup(SUFFIXES, suffix, "double"), F.lit(1.0))).alias("value"), unit.alias("unit"))
-
-    return F.transform(found, fact).cast(FACT)
-
-
-def spoken_numbers(text: Column) -> Column:
-    """Numbers in words, without zero; dollars are looked for behind their start."""
-
-    def fact(m: Column) -> Column:
-        near = F.lower(F.substring(text, m["place"] + 1, F.lit(CURRENCY_WITHIN)))
-        return F.struct(m["place"].alias("place"), spoken_value(m["said"]).alias("value"), F.when(near.rlike(r"\bdollars?\b"), "$").otherwise("").alias("unit"))
-
-    return F.filter(F.transform(places(text, SPOKEN), fact).cast(FACT), lambda f: f["value"] > 0)
+    total = 0.0
+    parts = SCALE.split(said.lower())
+    for k in range(0, len(parts), 2):
+        value = None
+        for piece in re.split(r"\bhundred\b", parts[k]):
+            simple = float(sum(SMALL.get(w, TENS.get(w, 0)) for w in WORDS.findall(piece)))
+            value = simple if value is None else max(value, 1.0) * 100 + simple
+        total += max(value, 1.0) * GREAT[parts[k + 1]] if k + 1 < len(parts) else value
+    return total
+
+
+def written_numbers(text: str) -> list[Fact]:
+    """(place, value, unit) of numbers in digits, with currency, thousands and suffix; a digit right behind a q belongs to a label."""
+    found, last = [], 0
+    for m in WRITTEN.finditer(text):
+        start = m.start()
+        while start > last and SPACES.match(text, start - 1):
+            start -= 1
+        currency = text[start - 1] if start > last and text[start - 1] in "$€£" else ""
+        start -= len(currency)
+        last = m.end()
+        if start == m.start() and start and text[start - 1] in "qQ":
+            continue
+        suffix = SUFFIX.search(m[0])
+        scale = suffix[0].lower() if suffix else ""
+        unit = "%" if scale in ("%", "percent") else currency
+        found.append((start, float(DIGITS.match(m[0])[0].replace(",", "")) * SUFFIXES.get(scale, 1.0), unit))
+    return found
+
+
+def spoken_numbers(text: str) -> list[Fact]:
+    """(place, value, unit) of numbers in words, without zero; dollars are looked for behind their start."""
+    found = []
+    for m in SPOKEN.finditer(text):
+        value = spoken_value(m[0])
+        if value > 0:
+            found.append((m.start(), value, "$" if DOLLARS.search(text[m.start() : m.start() + CURRENCY_WITHIN].lower()) else ""))
+    return found
+
+
+def facts_of(text: str) -> list[Fact]:
+    """All numbers of a text by place, written ones first; one that repeats an earlier kept one at nearly the same place goes."""
+    kept: list[Fact] = []
+    for place, _, value, unit in sorted([(p, 0, v, u) for p, v, u in written_numbers(text)] + [(p, 1, v, u) for p, v, u in spoken_numbers(text)]):
+        k = len(kept) - 1
+        while k >= 0 and place - kept[k][0] < SAME_PLACE and abs(value - kept[k][1]) >= 1e-6:
+            k -= 1
+        if k < 0 or place - kept[k][0] >= SAME_PLACE:
+            kept.append((place, value, unit))
+    return kept
 
 
-def number_facts(text: Column) -> Column:
-    """All numbers of a text by place, written ones first; one that repeats an earlier kept one at nearly the same place goes."""
-    mark = lambda facts, kind: F.transform(facts, lambda f: F.struct(f["place"].alias("place"), F.lit(kind).alias("kind"), f["value"].alias("value"), f["unit"].alias("unit")))
-    ordered = F.array_sort(F.concat(mark(written_numbers(text), 0), mark(spoken_numbers(text), 1)))
-    # matches do not overlap, so that few kept ones stand so close
-    near = lambda kept: F.slice(kept, F.greatest(F.size(kept) - 2 * SAME_PLACE + 1, F.lit(1)), F.lit(2 * SAME_PLACE))
-    return F.aggregate(
-        ordered,
-        F.array().cast(FACT),
-        lambda kept, f: F.when(F.exists(near(kept), lambda g: (f["place"] - g["place"] < SAME_PLACE) & (F.abs(f["value"] - g["value"]) < 1e-6)), kept).otherwise(F.concat(kept, F.array(F.struct(f["place"].alias("place"), f["value"].alias("value"), f["unit"].alias("unit"))))),
-    )
+def label_name(said: str) -> str:
+    return QUARTERS.get(said.lower().replace("quarter ", "q").strip(" ")) or " ".join(w.capitalize() for w in said.split(" "))
 
 
-def matched_labels(text: Column, at: Column) -> Column:
-    """A label or '' for each of the places ``at``: the matching of greatest gain that keeps the order of labels and places.
+def labels_of(text: str, at: list[int]) -> list[str]:
+    """A label or '' for each of the places ``at`` (ascending): the matching of greatest gain that keeps the order of labels and places.
 
     A pair within REACH gains what both cost unmatched, less its distance, which counts LATER if the label follows. Gains are whole
-    numbers (tenths of a character), so equal ones are equal; of equal matchings the one whose last labels, then last places, stay free.
+    numbers (tenths of a character), so equal ones are equal; of equal matchings the one whose last labels, then last places, stay free. Of the table of
+    best gains with the first labels and places, a label's row is kept for the places within its reach alone: before them it is the row above, behind them constant.
     """
-    marks = F.transform(places(text, LABEL), lambda m: F.struct(m["place"].alias("place"), m["said"].alias("said")))
-    both = round(2 * UNMATCHED * REACH * 10)
-    n, m = F.size(marks), F.size(at)
-
-    def gain(label: Column, place: Column) -> Column:
-        gap = F.abs(label["place"] - place)
-        return F.when(gap <= REACH, both - gap * F.when(label["place"] >= place, round(LATER * 10)).otherwise(10))
-
-    def row(above: Column, label: Column) -> Column:
-        # the best with the first k places: as above, or this label with place k, or the best with fewer places
-        paired = F.transform(at, lambda place, k: F.greatest(F.get(above, k + 1), F.coalesce(F.get(above, k) + gain(label, place), F.lit(0))))
-        return F.aggregate(paired, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.greatest(F.element_at(done, -1), x))))
-
-    table = F.aggregate(marks, F.array(F.array_repeat(F.lit(0), m + 1)), lambda rows, label: F.concat(rows, F.array(row(F.element_at(rows, -1), label))))
-    cell = lambda rows, i, j: F.get(F.get(rows, i), j)
-    start = F.struct(n.alias("i"), m.alias("j"), F.array().cast("array<struct<j:int,i:int>>").alias("pairs"))
-
-    def back(rows: Column, s: Column, _: Column) -> Column:
-        i, j = s["i"], s["j"]
-        over = (i == 0) | (j == 0)
-        here = cell(rows, i, j)
-        skip_label = ~over & (here == cell(rows, i - 1, j))
-        skip_place = ~over & ~skip_label & (here == cell(rows, i, j - 1))
-        pair = ~over & ~skip_label & ~skip_place
-        return F.struct(
-            (i - (skip_label | pair).cast("int")).alias("i"),
-            (j - (skip_place | pair).cast("int")).alias("j"),
-            F.when(pair, F.concat(s["pairs"], F.array(F.struct((j - 1).alias("j"), (i - 1).alias("i"))))).otherwise(s["pairs"]).alias("pairs"),
-        )
-
-    # the table is computed once and carried as the single element of an array
-    pairs = F.transform(F.array(table), lambda rows: F.aggregate(F.sequence(F.lit(1), n + m), start, lambda s, k: back(rows, s, k))["pairs"])[0]
-    chosen = F.map_from_entries(pairs)
-    names = F.transform(marks, lambda x: F.coalesce(lookup(QUARTERS, F.trim(F.replace(F.lower(x["said"]), F.lit("quarter "), F.lit("q"))), "string"), F.initcap(x["said"])))
-    labelled = F.transform(at, lambda place, k: F.coalesce(F.get(names, F.try_element_at(chosen, k)), F.lit("")))
-    return F.when((n == 0) | (m == 0), F.transform(at, lambda place: F.lit(""))).otherwise(labelled)
+    marks = [(m.start(), m[0]) for m in LABEL.finditer(text)] if at else []
+    both, later = round(2 * UNMATCHED * REACH * 10), round(LATER * 10)
+    rows: list[tuple[int, list[int]]] = [(0, [0])]  # of each label: the number of places before its row, and the best gains from there on
+
+    def best(i: int, j: int) -> int:
+        while i and j < rows[i][0]:
+            i -= 1
+        first, gains = rows[i]
+        return gains[min(j - first, len(gains) - 1)]
+
+    for i, (place, _) in enumerate(marks):
+        low, high = bisect_left(at, place - REACH), bisect_right(at, place + REACH)
+        gains = [best(i, low)]
+        for j in range(low, high):
+            gap = abs(place - at[j])
+            gains.append(max(gains[-1], best(i, j + 1), best(i, j) + both - gap * (later if place >= at[j] else 10)))
+        rows.append((low, gains))
+    out, i, j = [""] * len(at), len(marks), len(at)
+    while i and j:
+        here = best(i, j)
+        if j <= rows[i][0] or here == best(i - 1, j):
+            i -= 1
+        elif here == best(i, j - 1):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out[j] = label_name(marks[i][1])
+    return out
+
+
+@F.pandas_udf(FACTS)
+def number_facts(texts: pd.Series) -> pd.Series:
+    """All numbers of a text as (place, value, unit); see facts_of. A null text has none."""
+    return pd.Series([[{"place": p, "value": v, "unit": u} for p, v, u in facts_of(t or "")] for t in texts])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def matched_labels(texts: pd.Series, at: pd.Series) -> pd.Series:
+    """A label or '' for each of the places of a text; see labels_of."""
+    return pd.Series([labels_of(t or "", [int(x) for x in a]) for t, a in zip(texts, at, strict=True)])
+
+
+@F.pandas_udf(SAID)
+def labelled_numbers(texts: pd.Series) -> pd.Series:
+    def read(text: str) -> list[dict]:
+        facts = facts_of(text)
+        return [{"place": p, "value": v, "unit": u, "label": label} for (p, v, u), label in zip(facts, labels_of(text, [f[0] for f in facts]), strict=True)]
+
+    return pd.Series([read(t or "") for t in texts])
+
+
+@F.pandas_udf(FACTS)
+def numbers_in_digits(texts: pd.Series) -> pd.Series:
+    """The numbers of a text that are written in digits as (place, value, unit); see written_numbers. A null text has none."""
+    return pd.Series([[{"place": p, "value": v, "unit": u} for p, v, u in written_numbers(t or "")] for t in texts])
 
 
 def extract_numbers(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """id, place, value, unit, label of every number in a text; null texts have none. JVM only, one narrow pass."""
-    # most texts say no number at all: a plain pattern keeps them from the longer expressions
-    said = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(rf"(?i)[0-9]|{_small}"))
-    facts = said.select("id", "text", number_facts(F.col("text")).alias("facts"))
-    labels = facts.select("id", "facts", matched_labels(F.col("text"), F.transform("facts", lambda f: f["place"])).alias("labels"))
-    each = labels.select("id", F.explode(F.arrays_zip("facts", "labels")).alias("x"))
-    return each.select(F.col("id").alias(row_id), "x.facts.place", "x.facts.value", "x.facts.unit", F.col("x.labels").alias("label"))
+    """id, place, value, unit, label of every number in a text; null texts have none. One narrow pass."""
+    # most texts say no number at all: a plain pattern keeps them on the JVM
+    said = df.select(F.col(row_id), F.col(text).cast("string").alias("__text")).where(F.col("__text").rlike(rf"(?i)[0-9]|{_small}"))
+    return said.select(row_id, F.explode(labelled_numbers("__text")).alias("x")).select(row_id, "x.place", "x.value", "x.unit", "x.label")
 
 
 def build_series(facts: DataFrame, row_id: str, least: int = 2) -> DataFrame:
@@ -174,8 +186,10 @@ def build_series(facts: DataFrame, row_id: str, least: int = 2) -> DataFrame:
     every = W.partitionBy(row_id)
     labelled = F.count_if(F.col("label") != "").over(every)
     pool = facts.withColumn("__l", labelled).where((F.col("__l") < least) | (F.col("label") != ""))
-    pool = pool.withColumn("__n", F.count(F.lit(1)).over(every)).withColumn("__v", F.array_sort(F.collect_list("value").over(every)))
-    middle = F.element_at("__v", (F.floor(F.col("__n") / 2) + 1).cast("int"))
+    # sorted once per row, not once per number
+    values = pool.groupBy(row_id).agg(F.array_sort(F.collect_list("value")).alias("__s")).select(F.col(row_id).alias("__r"), F.size("__s").alias("__n"), F.element_at("__s", (F.floor(F.size("__s") / 2) + 1).cast("int")).alias("__middle"))
+    pool = pool.join(values, F.col(row_id).eqNullSafe(F.col("__r"))).drop("__r")
+    middle = F.col("__middle")
     kept = pool.where((F.col("__n") >= least) & (F.col("value") >= middle / 12) & (F.col("value") <= middle * 12))
     order = every.orderBy("place", "value")
     kept = kept.withColumn("__k", F.row_number().over(order)).withColumn("name", F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("#"), F.col("__k").cast("string"))))

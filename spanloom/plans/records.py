@@ -269,6 +269,26 @@ def number_series(spark, sf_dir):
     return series.join(numbers.series_statistics(series, "id"), "id", "left")
 
 
+_SCALES = "CASE lower(regexp_extract(m, '[A-Za-z%]+$')) " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in numbers.SUFFIXES.items()) + " ELSE 1 END"
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '(?i)q?[$€£]?\\s*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+(?:\\.[0-9]+)?)\\s*(?:{"|".join(numbers.SUFFIXES)})?'), lambda m: NOT regexp_matches(m, '^[qQ][0-9]'))) AS m FROM documents),
+v AS (SELECT doc_id, replace(regexp_extract(m, '[0-9][0-9,]*(\\.[0-9]+)?'), ',', '')::DOUBLE * {_SCALES} AS v, CASE WHEN regexp_matches(m, '(?i)(%|percent)$') THEN '%' ELSE regexp_extract(m, '[$€£]') END AS unit FROM m)
+SELECT doc_id, count(*) AS n, min(v) AS least, max(v) AS most, array_to_string(list_sort(list(DISTINCT unit)), '') AS units FROM v GROUP BY 1""")
+def document_numbers(spark, sf_dir):
+    """Numbers in digits in every document: how many, their least and greatest value, their units."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    each = d.select("doc_id", F.explode(numbers.numbers_in_digits("text")).alias("x"))
+    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("x.value").alias("least"), F.max("x.value").alias("most"), F.array_join(F.array_sort(F.collect_set("x.unit")), "").alias("units"))
+
+
+@query()
+def document_series(spark, sf_dir):
+    """Series of numbers said in all documents, with growth."""
+    series = numbers.build_series(numbers.extract_numbers(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return series.join(numbers.series_statistics(series, "doc_id"), "doc_id", "left")
+
+
 @query("SELECT doc_id, source, n_chars FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' AND contains(lower(text || ' ' || source), 'the') ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 10")
 def filtered_page(spark, sf_dir):
     """A page of the library: filtered, searched, ordered, cut."""

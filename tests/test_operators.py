@@ -495,3 +495,22 @@ def test_internal_addresses_are_refused(spark):
     df = spark.createDataFrame([(u,) for u in refused + fine], "u string")
     got = {r.u: r.v for r in df.select("u", pr.url_verdict(F.col("u")).alias("v")).collect()}
     assert {got[u] for u in refused} == {"blocked"} and {got[u] for u in fine} == {"ok"}, got
+
+
+def test_numbers_in_a_long_text_take_linear_time(spark):
+    import time
+
+    texts = [" and ".join(f"Q{i % 4 + 1} ${i}M" for i in range(10_000)), "forty two million, " * 10_000, " " * 300_000 + "5", "1 " * 20_000, "first " * 20_000 + "7", "twenty" + "-" * 300_000]
+    started = time.monotonic()
+    got = [numbers.facts_of(t) for t in texts]
+    labels = numbers.labels_of(texts[0], [f[0] for f in got[0]])
+    numbers.labels_of(texts[4], [f[0] for f in got[4]])
+    assert time.monotonic() - started < 20
+    # the digit of a label is none; what follows keeps its own
+    assert [f[1] for f in got[0]] == [i * 1e6 for i in range(10_000)] and labels == [f"Q{i % 4 + 1}" for i in range(10_000)]
+    assert len(got[1]) == 1 or {f[1] for f in got[1]} == {42e6}
+    assert got[2] == [(0, 5.0, "")] and len(got[3]) == 6_667
+    df = spark.createDataFrame([(1, texts[0])], "id int, text string")
+    series = numbers.build_series(numbers.extract_numbers(df, "id", "text"), "id").collect()
+    assert len(series) == 1 and series[0].labels == ["Q2", "Q3", "Q4", "Q1"] and series[0].values[0] == 417e6  # from a twelfth of the median on
+    assert time.monotonic() - started < 60
