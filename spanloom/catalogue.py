@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import assembly, dialogue, lexical, merging, records, retrieval, review, signals, streams, temporal, texts
+from .plans import assembly, dialogue, interchange, lexical, merging, records, retrieval, review, signals, streams, temporal, texts
 
-MODULES = (lexical, temporal, signals, retrieval, texts, records, assembly, merging, streams, dialogue, review)
+MODULES = (lexical, temporal, signals, retrieval, texts, records, assembly, merging, streams, dialogue, review, interchange)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

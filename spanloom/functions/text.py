@@ -109,6 +109,13 @@ def cue_time(seconds: Column, mark: str = ",") -> Column:
     return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+def iso_utc(ts: Column) -> Column:
+    """A time without zone, taken as UTC, in ISO form with its offset; microseconds only where there are any. Null is empty."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(ts, "SSSSSS")
+    return F.coalesce(F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00")), F.lit(""))
+
+
 def parse_time(text: Column) -> Column:
     """Seconds of h:mm:ss.mmm (or a comma), else of a plain number, else 0."""
     part = lambda k: F.regexp_extract(text, r"(\d+):(\d{2}):(\d{2})[.,](\d{1,3})", k)

@@ -29,6 +29,11 @@ def visual_description(slides: Column, frames: Column, density: Column, entropy:
     )
 
 
+def scene_kind(static_ratio: Column, luma_spread: Column, frames: Column) -> Column:
+    """static where hardly anything moves; fade where the light of more than two frames varies and little stands still; else cut. Nulls say nothing."""
+    return F.when(static_ratio > 0.85, "static").when((frames > 2) & (luma_spread > 0.18) & (F.coalesce(static_ratio, F.lit(0.0)) < 0.2), "fade").otherwise("cut")
+
+
 def frame_quality(sharpness: Column, entropy: Column, exposure: Column, text_density: Column) -> Column:
     """A blend of unit-scaled frame metrics."""
     return 0.34 * sharpness + 0.24 * entropy + 0.20 * exposure + 0.22 * text_density

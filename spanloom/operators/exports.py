@@ -50,6 +50,12 @@ def csv_cell(c: Column, text: bool = True) -> Column:
     return F.when(plain.rlike('[",\n\r]'), F.concat(F.lit('"'), F.regexp_replace(plain, '"', '""'), F.lit('"'))).otherwise(plain)
 
 
+def plain_number(c: Column) -> Column:
+    """A double as text without an exponent, to ten places where Spark would write one."""
+    long = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when((F.abs(c) < 1e-3) & (c != 0) | (F.abs(c) >= 1e7), F.coalesce(long, c.cast("string"))).otherwise(c.cast("string"))
+
+
 def csv_row(df: DataFrame, columns: dict[str, Column]) -> Column:
     """One line: strings are guarded, arrays joined by |, booleans 0 or 1, numbers as they are."""
     cells = []
@@ -58,7 +64,8 @@ def csv_row(df: DataFrame, columns: dict[str, Column]) -> Column:
         if kind.startswith("array"):
             cells.append(csv_cell(F.array_join(c, "|")))
         else:
-            cells.append(csv_cell(c.cast("int") if kind == "boolean" else c, kind == "string"))
+            shown = c.cast("int") if kind == "boolean" else plain_number(c) if kind in ("double", "float") else c
+            cells.append(csv_cell(shown, kind == "string"))
     return F.concat_ws(",", *cells)
 
 
@@ -72,3 +79,21 @@ def bundle(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, lis
         out = out.join(df.groupBy(key).agg(rows.alias(name)), key, "left")
         names.append(F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)).alias(name))
     return out.select(key, F.to_json(F.struct(F.lit(schema).alias("schema"), F.col("record"), *names)).alias("body"))
+
+
+#: The columns of each table as CSV, and to how many places their numbers are rounded.
+CSV_TABLES = {
+    "segments": {"index": None, "start_s": 3, "end_s": 3, "speaker": None, "confidence": 4, "text": None},
+    "chunks": {"index": None, "start_s": 3, "end_s": 3, "duration_s": 3, "speakers": None, "keywords": None, "keyframes": None, "words_per_s": 3, "visual_activity": 3, "text": None},
+    "scenes": {"index": None, "start_s": 3, "end_s": 3, "duration_s": 3, "kind": None, "cut_score": 3, "static_ratio": 3},
+    "keyframes": {"id": None, "scene": None, "timestamp_s": 3, "path": None, "width": None, "height": None, "quality": 4, "sharpness": 5, "entropy": 3, "text_density": 5, "is_slide": None},
+}
+
+
+def csv_lines(df: DataFrame, kind: str) -> Column:
+    """A row of ``df`` as a line of one of CSV_TABLES, whose columns it must have."""
+    return csv_row(df, {name: F.col(name) if digits is None else F.round(F.col(name), digits) for name, digits in CSV_TABLES[kind].items()})
+
+
+def csv_header(kind: str) -> str:
+    return ",".join(CSV_TABLES[kind])

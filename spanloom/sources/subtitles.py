@@ -18,23 +18,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def cues_of(content):
+    """``array<struct<start, end, speaker, text>>`` of every cue with a time line and a body, in order; null contents have none."""
+    blocks = F.split(F.trim(F.regexp_replace(content, "\r\n", "\n")), r"\n\s*\n")
+
+    def cut(block):
+        lines = F.filter(F.split(block, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.upper(F.trim(x)), F.lit("WEBVTT")))
+        times = F.filter(lines, lambda x: F.contains(x, F.lit("-->")))
+        body = F.filter(lines, lambda x: ~F.contains(x, F.lit("-->")) & ~F.trim(x).rlike("^[0-9]+$"))
+        return F.struct(F.get(times, F.lit(0)).alias("time"), F.trim(F.array_join(body, " ")).alias("body"))
+
+    def cue(c):
+        time, body = c["time"], c["body"]
+        start = parse_time(F.trim(F.split_part(time, F.lit("-->"), F.lit(1))))
+        end = parse_time(F.split_part(F.trim(F.split_part(time, F.lit("-->"), F.lit(2))), F.lit(" "), F.lit(1)))
+        square, voice = r"(?s)^\[([^\]]*)\](.*)$", r"(?s)^<v ([^>]+)>(.*)$"
+        named = [(body.rlike(p), F.regexp_extract(body, p, 1), F.regexp_extract(body, p, 2)) for p in (square, voice)]
+        speaker = F.when(named[0][0], F.trim(named[0][1])).when(named[1][0], F.trim(named[1][1]))
+        rest = F.when(named[0][0], named[0][2]).when(named[1][0], named[1][2]).otherwise(body)
+        return F.struct(start.alias("start"), F.greatest(end, start + LEAST_SECONDS).alias("end"), speaker.alias("speaker"), F.trim(F.regexp_replace(rest, "<[^>]+>", "")).alias("text"))
+
+    timed = F.filter(F.transform(blocks, cut), lambda c: c["time"].isNotNull())
+    return F.filter(F.transform(timed, cue), lambda c: c["text"] != "")
+
+
 def parse_cues(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, idx, start, end, speaker, text of every cue with a time line and a body; null contents have none."""
-    blocks = F.split(F.trim(F.regexp_replace(F.col(content), "\r\n", "\n")), r"\n\s*\n")
-    b = files.select(F.col(path).alias("path"), F.posexplode(blocks).alias("at", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.upper(F.trim(x)), F.lit("WEBVTT")))
-    times = F.filter(lines, lambda x: F.contains(x, F.lit("-->")))
-    body = F.filter(lines, lambda x: ~F.contains(x, F.lit("-->")) & ~F.trim(x).rlike("^[0-9]+$"))
-    b = b.select("path", "at", F.try_element_at(times, F.lit(1)).alias("time"), F.trim(F.array_join(body, " ")).alias("body")).where("time is not null")
-    start = parse_time(F.trim(F.split_part("time", F.lit("-->"), F.lit(1))))
-    end = parse_time(F.split_part(F.trim(F.split_part("time", F.lit("-->"), F.lit(2))), F.lit(" "), F.lit(1)))
-    square, voice = F.regexp_extract("body", r"(?s)^\[([^\]]*)\](.*)$", 1), F.regexp_extract("body", r"(?s)^<v ([^>]+)>(.*)$", 1)
-    has = [F.col("body").rlike(r"(?s)^\[[^\]]*\]"), F.col("body").rlike("^<v [^>]+>")]
-    speaker = F.when(has[0], F.trim(square)).when(has[1], F.trim(voice))
-    rest = F.when(has[0], F.regexp_extract("body", r"(?s)^\[[^\]]*\](.*)$", 1)).when(has[1], F.regexp_extract("body", r"(?s)^<v [^>]+>(.*)$", 1)).otherwise(F.col("body"))
-    cues = b.select("path", "at", start.alias("start"), F.greatest(end, start + LEAST_SECONDS).alias("end"), speaker.alias("speaker"), F.trim(F.regexp_replace(rest, "<[^>]+>", "")).alias("text"))
-    idx = F.row_number().over(W.partitionBy("path").orderBy("at")) - 1
-    return cues.where("text <> ''").withColumn("idx", idx).select("path", "idx", "start", "end", "speaker", "text")
+    """path, idx, start, end, speaker, text of every cue; one narrow pass, so that streams can be read by it, too."""
+    each = files.select(F.col(path).alias("path"), F.posexplode(cues_of(F.col(content))).alias("idx", "c"))
+    return each.select("path", "idx", "c.start", "c.end", "c.speaker", "c.text")
 
 
 def parse_json(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
