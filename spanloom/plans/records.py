@@ -6,8 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import predicates as pr
-from ..operators import bm25, exports, numbers, records
-from ..operators import sequential as seq
+from ..operators import bm25, exports, numbers, records, suppression
 from ..sources import sinks
 from ..sources.tables import table
 from .derived import register
@@ -88,10 +87,13 @@ def near_dupe_hamming(spark, sf_dir):
     return records.hamming_search(h.where("id % 20 = 0").withColumnRenamed("id", "query"), h, 9, _BITS)
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS (SELECT x.id, label, h, row_number() OVER (PARTITION BY label ORDER BY x.id) AS k FROM {_HASH} x JOIN embeddings ON vec_id = x.id),
+w AS (SELECT label, id, k, TRUE AS keep, [h] AS kept FROM h WHERE k = 1
+  UNION ALL SELECT label, id, k, NOT near, CASE WHEN near THEN kept ELSE list_append(kept, h) END FROM (SELECT h.*, w.kept, len(list_filter(w.kept, lambda x: bit_count(xor(x, h.h)) <= 9)) > 0 AS near FROM w JOIN h USING (label) WHERE h.k = w.k + 1))
+SELECT label, id FROM w WHERE keep""")
 def near_dupe_greedy(spark, sf_dir):
     """Vectors of each label kept in order, without those within nine bits of a kept one."""
-    return seq.greedy_distinct(_hashes(spark, sf_dir), "label", "id", "id", "hash", 9)
+    return suppression.greedy_kept(_hashes(spark, sf_dir), "label", "id", "id", "hash", 9, width=_BITS).select("label", "id")
 
 
 @query(
