@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import stateful as st
+from ..streaming import timers
 from .derived import register
 from .signals import SQL_EWMA
 
@@ -49,6 +50,12 @@ def stream_ewma(spark, sf_dir):
     return st.drain(st.ewma_stream(st.event_stream(spark, sf_dir).withColumn("delta", F.col("value") / 500), "user_id", "event_id", "delta"))
 
 
+@query(f"WITH RECURSIVE {SQL_EWMA} SELECT user_id, id, spike FROM lv JOIN (SELECT event_id AS id, epoch_us(ts) AS us FROM events) USING (id) WHERE us <= ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 3600000) * 1000")
+def stream_ordered_ewma(spark, sf_dir):
+    """The same with rows held back until the watermark, an hour behind, has passed them, so that they are judged in order whatever batch they come in."""
+    return st.drain(timers.ordered_ewma(st.event_stream(spark, sf_dir).withColumn("delta", F.col("value") / 500), "user_id", "event_id", "delta"))
+
+
 @query()
 def token_bucket(spark, sf_dir):
     """Requests of each user that fit a budget of three at once and one in four hours."""
