@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialized
+
 
 def search_filter(groups: Sequence[str] | None = None, speakers: Sequence[str] | None = None, low: float | None = None, high: float | None = None, *, group_col: str = "video_id", speaker_col: str = "speakers", start: str = "start", end: str = "end") -> Column:
     """The conditions of a search, all that are given: groups, any of the speakers, and a time range with both ends included. Missing times count as 0."""
@@ -75,21 +77,42 @@ def hamming_search(queries: DataFrame, rows: DataFrame, radius: int, bits: int =
     return pairs.where(F.col("i") == first).select("query", "id", "distance")
 
 
-def graph_depths(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, depth: the longest way to each node of an acyclic graph (columns node, needs; needs null for sources), which orders it topologically."""
-    edges.createOrReplaceTempView("__graph_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT node, 0 FROM __graph_edges WHERE needs IS NULL
-          UNION ALL SELECT e.node, w.depth + 1 FROM __graph_edges e JOIN walk w ON e.needs = w.node)
-        SELECT node, max(depth) AS depth FROM walk GROUP BY node""")
-
-
-def graph_ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, ancestor: the transitive closure of needs."""
-    edges.createOrReplaceTempView("__graph_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(node, ancestor) AS (
-          SELECT node, needs FROM __graph_edges WHERE needs IS NOT NULL
-          UNION ALL SELECT w.node, e.needs FROM walk w JOIN __graph_edges e ON e.node = w.ancestor AND e.needs IS NOT NULL)
-        SELECT DISTINCT node, ancestor FROM walk""")
+def graph_depths(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
+    """node, depth: the longest way to each node of an acyclic graph (columns node, needs; needs null or unknown for sources), which orders it topologically.
+
+    Level by level: a node is settled in the round after the last of what it needs, so each edge is looked at once a level and no path is listed. A node that needs itself, directly or not,
+    would never settle: that is an error, as is a graph of more levels than ``rounds``. Repeated edges do no harm.
+    """
+    e = materialized(edges.where(F.col("node").isNotNull()).distinct())
+    every = e.select("node").distinct()
+    real = materialized(e.where(F.col("needs").isNotNull()).join(every.withColumnRenamed("node", "needs"), "needs", "left_semi").select("node", "needs"))
+    waiting, done = real, None
+    settled = materialized(every.join(real.select("node").distinct(), "node", "left_anti").withColumn("depth", F.lit(0)))
+    for depth in range(1, rounds + 1):
+        done = settled if done is None else done.unionByName(settled)
+        if waiting.isEmpty():
+            break
+        # edges whose needs are settled go; nodes that have none left are the next level
+        left = materialized(waiting.join(settled.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))
+        freed = waiting.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti")
+        settled = materialized(freed.withColumn("depth", F.lit(depth)))
+        if settled.isEmpty():
+            raise ValueError("the graph has a cycle")
+        waiting = left
+    else:
+        raise ValueError(f"the graph has more than {rounds} levels")
+    return done
+
+
+def graph_ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """node, ancestor: the transitive closure of needs (columns node, needs). Ways double in length each round, so rounds are the logarithm of the longest; cycles end, too."""
+    now = materialized(edges.where(F.col("node").isNotNull() & F.col("needs").isNotNull()).select("node", F.col("needs").alias("ancestor")).distinct())
+    n = now.count()
+    for _ in range(rounds):
+        longer = now.join(now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("node", F.col("far").alias("ancestor"))
+        now = materialized(now.unionByName(longer).distinct())
+        if (m := now.count()) == n:
+            break
+        n = m
+    return now
+

@@ -154,17 +154,18 @@ def priority_queue(spark, sf_dir):
 
 
 _TIMES = ("what came after 1:30", "from 01:02:03 on", "before 10:00 please", "until 1:00:00", "no time here", "the second speaker", "what did the last person say", "third presenter since 0:45")
-_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TIMES))
+_VALUES = ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(_TIMES))
 
 
-@query(f"""WITH q AS (SELECT * FROM (VALUES {_VALUES}) v(id, t)), m AS (SELECT *, regexp_extract(t, '(?i)\\b(?:after|from|since)\\s+(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)', 1) AS a, regexp_extract(t, '(?i)\\b(?:before|until|up to)\\s+(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)', 1) AS b,
+@query(f"""WITH q AS (SELECT * FROM (VALUES {_VALUES}) v(id, t) UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations), m AS (SELECT *, regexp_extract(t, '(?i)\\b(?:after|from|since)\\s+(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)', 1) AS a, regexp_extract(t, '(?i)\\b(?:before|until|up to)\\s+(\\d{{1,2}}:\\d{{2}}(?::\\d{{2}})?)', 1) AS b,
 lower(regexp_extract(t, '(?i)\\b(first|1st|second|2nd|third|3rd|fourth|4th|fifth|5th|last|final)\\s+(?:speaker|person|presenter|panelist|voice)\\b', 1)) AS o FROM q),
 s AS (SELECT *, list_reduce(list_transform(string_split(nullif(a, ''), ':'), lambda x: x::BIGINT), lambda x, y: x * 60 + y)::DOUBLE AS sa, list_reduce(list_transform(string_split(nullif(b, ''), ':'), lambda x: x::BIGINT), lambda x, y: x * 60 + y)::DOUBLE AS sb FROM m)
 SELECT id, CASE WHEN sa IS NOT NULL THEN sa WHEN sb IS NOT NULL THEN 0 END AS start_s, CASE WHEN sa IS NOT NULL THEN 1e6 ELSE sb END AS end_s,
 CASE o WHEN 'first' THEN 'Ann' WHEN 'second' THEN 'Bob' WHEN 'third' THEN 'Cy' WHEN 'last' THEN 'Cy' END AS speaker FROM s""")
 def time_and_speaker_references(spark, sf_dir):
-    """Ranges and speakers that questions name."""
-    q = spark.createDataFrame(list(enumerate(_TIMES)), "id int, t string")
+    """Ranges and speakers that all turns of the conversations, and some fixed questions, name."""
+    fixed = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_TIMES)], "id long, t string")
+    q = fixed.unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("t")))
     r = asm.time_filter(F.col("t"))
     who = asm.ordinal_speaker(F.col("t"), F.array(F.lit("Cy"), F.lit("Ann"), F.lit("Bob")))
     return q.select("id", r["start"].alias("start_s"), r["end"].alias("end_s"), who.alias("speaker"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import NUMBER_WORDS, lexical_tokens
 from ..operators import bm25
 from ..sources import sinks
-from ..sources.tables import shared_folder, table
+from ..sources.tables import removed_at_exit, shared_folder, table
 from .derived import register
 
 _NUMBERS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBER_WORDS.items()) + "}"
@@ -58,7 +58,7 @@ def bm25_filtered(spark, sf_dir):
 @query(bm25_sql(tail=_TOP.format(10)).replace("FROM documents", "FROM documents WHERE coalesce(lang, '') <> 'de'"))
 def bm25_kept_index(spark, sf_dir):
     """The ten best documents from an index that is kept in the shared folder: all indexed, German ones deleted, compacted."""
-    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs, path = table(spark, sf_dir, "documents"), removed_at_exit(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     bm25.add_documents(docs, path)
     bm25.delete_documents(spark, docs.where("lang = 'de'"), path)
     bm25.compact(spark, path)

@@ -152,19 +152,33 @@ _URLS = (
     "", "ftp://a.example/x", "https://youtu.be/abc", "https://www.youtube.com/watch", "http://127.0.0.1/", "http://10.1.2.3:80/x", "https://192.168.0.9", "http://172.32.0.1/", "https://user:pw@8.8.8.8/v.mp4", "https://notyoutube.com/", "https:///x", "HTTPS://EXAMPLE.COM/A",
     "http://169.254.169.254/latest/meta-data/", "http://metadata.google.internal/computeMetadata/v1/", "http://127.0.0.1:8000/api/videos", "http://localhost:6333/collections", "http://LOCALHOST./x", "http://10.1.2.3/a.mp4", "http://172.16.5.5/a.mp4", "http://192.168.0.10/a.mp4", "http://[::1]/a.mp4", "http://0.0.0.0/a.mp4",
     "file:///etc/passwd", "gopher://internal/x", "http://[fe80::1]:80/", "http://[FD12:3456::1]/", "http://[ff02::1]/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.8.8]/", "http://[2001:db8::1]/v.mp4", "http://[::]/", "http://[1:2]/", "http://2130706433/", "http://0x7f.1/", "http://0177.0.0.1/", "http://a@[::1]@b.example/", "http://192.0.1.1/", "http://198.19.255.255/", "http://198.20.0.0/", "http://100.127.1.1/", "http://100.128.1.1/", "http://223.255.255.255/", "http://224.0.0.1/",
+    "http://[::ffff:7f00:1]/", "http://[::ffff:a9fe:a9fe]/x", "http://[::127.0.0.1]/", "http://[2002:7f00:1::]/", "http://[2002:808:808::1]/", "http://[64:ff9b::7f00:1]/", "http://[64:ff9b::808:808]/", "http://[::ffff:0:10.0.0.1]/", "http://[2001:0:1::f5ff:fffe]/",
+    "http://[::ffff:808:808]/", "http://[1:2:3:4:5:6:7:8]/", "http://[1::2::3]/", "http://[1:2:3:4:5:6:7:8:9]/", "http://[1:2:3:4:5:6:7::]/", "http://[2001:db8::1%25eth0]/", "http://[::ffff:999.0.0.1]/", "http://[12345::1]/", "http://[:1:2:3:4:5:6:7]/", "http://[::1", "http://\uff11\uff12\uff17.0.0.1/",
 )
 _VALUES = ", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(_URLS))
 
 
-# The SQL states the same in its own way: networks as patterns of their written form.
+# The SQL states the same in its own way: an IPv6 address becomes its 32 hexadecimal digits, networks are patterns of written forms.
+_DOTTED_BLOCKED = r"(0|10|127|22[4-9]|2[345]\d|169\.254|192\.168|192\.0\.0|198\.1[89]|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))(\.\d+)+"
+_DOTTED_OF = "printf('%d.%d.%d.%d', ('0x' || {x}[1:2])::INT, ('0x' || {x}[3:4])::INT, ('0x' || {x}[5:6])::INT, ('0x' || {x}[7:8])::INT)"
+
+
 @query(
-    rf"""WITH u AS (SELECT page_id AS id, trim(url) AS url FROM pages UNION ALL SELECT * FROM (VALUES {_VALUES})), h AS (SELECT *, rtrim(regexp_extract(lower(url), '^https?://([^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)', 2), '.') AS host FROM u)
+    rf"""WITH u AS (SELECT page_id AS id, trim(url) AS url FROM pages UNION ALL SELECT * FROM (VALUES {_VALUES})), h AS (SELECT *, rtrim(regexp_extract(lower(url), '^https?://([^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 2), '.') AS host FROM u),
+i AS (SELECT *, CASE WHEN starts_with(host, '[') THEN regexp_replace(regexp_replace(host, '^\[|\]$', '', 'g'), '%.*$', '') END AS inner6 FROM h),
+j AS (SELECT *, regexp_extract(inner6, '(?:^|:)((?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|[01]?\d?\d))$', 1) AS v4 FROM i),
+k AS (SELECT *, CASE WHEN v4 <> '' THEN inner6[1:length(inner6) - length(v4)] || printf('%x:%x', split_part(v4, '.', 1)::INT * 256 + split_part(v4, '.', 2)::INT, split_part(v4, '.', 3)::INT * 256 + split_part(v4, '.', 4)::INT) ELSE inner6 END AS w FROM j),
+l AS (SELECT *, CASE WHEN length(w) - length(replace(w, '::', '')) = 2 THEN CASE WHEN length(replace(w, '::', ':')) - length(replace(w, ':', '')) - 1 <= 7 THEN
+    replace(w, '::', CASE WHEN starts_with(w, '::') THEN '' ELSE ':' END || repeat('0:', 8 - len(list_filter(string_split(w, ':'), lambda g: g <> ''))::INT) || CASE WHEN ends_with(w, '::') THEN '' ELSE '' END) END WHEN NOT contains(w, '::') THEN w END AS wide FROM k),
+m AS (SELECT *, CASE WHEN regexp_full_match(rtrim(wide, ':'), '([0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}') THEN array_to_string(list_transform(string_split(rtrim(wide, ':'), ':'), lambda g: lpad(g, 4, '0')), '') END AS x FROM l),
+n AS (SELECT *, CASE WHEN regexp_matches(x, '^(0{{24}}|0{{20}}ffff|0{{16}}ffff0000|0064ff9b0{{16}})') THEN {_DOTTED_OF.format(x="x[25:32]")} WHEN x[1:4] = '2002' THEN {_DOTTED_OF.format(x="x[5:12]")}
+    WHEN x[1:8] = '20010000' THEN {_DOTTED_OF.format(x="translate(x[25:32], '0123456789abcdef', 'fedcba9876543210')")} END AS inside FROM m)
 SELECT id, CASE WHEN url = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too_long' WHEN lower(split_part(url, ':', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'no_host'
 WHEN regexp_full_match(host, '(www\.|.*\.)?(youtube|vimeo|dailymotion|tiktok|instagram|facebook|x|twitter)\.com|(www\.|.*\.)?(youtu\.be|twitch\.tv)') THEN 'page_host'
 WHEN regexp_full_match(host, '(.*\.)?(localhost|localdomain|internal|local)') THEN 'blocked'
-WHEN regexp_full_match(host, '(\[::ffff:)?(0|10|127|22[4-9]|2[345]\d|169\.254|192\.168|192\.0\.0|198\.1[89]|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7]))(\.\d+)+\]?') AND regexp_matches(host, '\d+\.\d+\.\d+\.\d+') THEN 'blocked'
-WHEN regexp_full_match(host, '\[(::1?|f[cd]..:.*|fe[89ab].:.*|ff..:.*)\]') OR starts_with(host, '[') AND NOT contains(host, '::') AND NOT regexp_full_match(host, '\[([0-9a-f]+:)+[0-9a-f]+\]') OR host = '[1:2]' THEN 'blocked'
-WHEN regexp_full_match(host, '[0-9a-fx.]*') AND regexp_matches(host, '^(\d+$|0x|0\d)') THEN 'blocked' ELSE 'ok' END AS verdict FROM h"""
+WHEN regexp_full_match(coalesce(inside, host), '{_DOTTED_BLOCKED}') AND regexp_matches(coalesce(inside, host), '^\d+\.\d+\.\d+\.\d+$') THEN 'blocked'
+WHEN starts_with(host, '[') AND (x IS NULL OR regexp_matches(x, '^(f[cd]|fe[89ab]|ff)')) THEN 'blocked' WHEN regexp_matches(host, '[\x{{FF00}}-\x{{FFEF}}\x{{3002}}]') THEN 'blocked'
+WHEN regexp_full_match(host, '[0-9a-fx.]*') AND regexp_matches(host, '^(\d+$|0x|0\d)') THEN 'blocked' ELSE 'ok' END AS verdict FROM n"""
 )
 def url_admissible(spark, sf_dir):
     """Whether each address may be fetched, and else why not."""
@@ -238,22 +252,26 @@ def bundle_json(spark, sf_dir):
     return exports.bundle(parents, "conv_id", {"segments": (t.select("conv_id", "turn", "speaker"), ["turn"])}, "analysis@1").select("conv_id", F.md5("body").alias("digest"))
 
 
-#: Stages of an ingest and what each needs.
-STAGE_NEEDS = {"probe": (), "audio": ("probe",), "scenes": ("probe",), "keyframes": ("scenes",), "transcribe": ("audio",), "diarize": ("transcribe",), "align": ("diarize", "keyframes"), "embed": ("align",), "chapters": ("embed",), "index": ("embed",), "summarize": ("index",)}
-_EDGES = [(n, d) for n, needs in STAGE_NEEDS.items() for d in (needs or (None,))]
-_SQL_EDGES = "e(node, needs) AS (VALUES " + ", ".join(f"('{n}', {repr(d) if d else 'NULL'})" for n, d in _EDGES) + ")"
+#: Parts as a graph: each is built into the one of half its key and the one of a third of it.
+_SQL_EDGES = "e AS (SELECT DISTINCT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3]) AS needs FROM part), r AS (SELECT * FROM e WHERE needs <> node AND needs IN (SELECT p_partkey FROM part))"
+
+
+def _edges(spark, sf_dir):
+    into = F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.explode(into).alias("needs")).withColumn("needs", F.when(F.col("needs") != F.col("node"), F.col("needs")))
 
 
-@query(f"WITH RECURSIVE {_SQL_EDGES}, w(node, depth) AS (SELECT node, 0 FROM e WHERE needs IS NULL UNION ALL SELECT e.node, w.depth + 1 FROM e JOIN w ON e.needs = w.node) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1")
+@query(f"WITH RECURSIVE {_SQL_EDGES}, w(node, depth) AS (SELECT p_partkey, 0 FROM part UNION SELECT r.node, w.depth + 1 FROM r JOIN w ON r.needs = w.node) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1")
 def dag_topo_order(spark, sf_dir):
-    """The earliest superstep of every ingest stage."""
-    return records.graph_depths(spark, spark.createDataFrame(_EDGES, "node string, needs string"))
+    """The level of every part: the longest way down to it."""
+    return records.graph_depths(_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_SQL_EDGES}, w(node, ancestor) AS (SELECT node, needs FROM e WHERE needs IS NOT NULL UNION SELECT w.node, e.needs FROM w JOIN e ON e.node = w.ancestor WHERE e.needs IS NOT NULL) SELECT DISTINCT node, ancestor FROM w")
+@query(f"WITH RECURSIVE {_SQL_EDGES}, w(node, ancestor) AS (SELECT node, needs FROM r UNION SELECT w.node, r.needs FROM w JOIN r ON r.node = w.ancestor) SELECT node, ancestor FROM w")
 def ancestors(spark, sf_dir):
-    """What each ingest stage needs, directly or not."""
-    return records.graph_ancestors(spark, spark.createDataFrame(_EDGES, "node string, needs string"))
+    """What each part is built into, directly or not."""
+    edges = _edges(spark, sf_dir)
+    return records.graph_ancestors(edges.join(edges.select(F.col("node").alias("needs")).distinct(), "needs", "left_semi"))
 
 
 _SPEECHES = (

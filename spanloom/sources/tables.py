@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -49,8 +50,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the driver ends with its JVM still up, on whatever file system it is: results are read lazily, so it cannot go before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # a JVM that is gone
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+    atexit.register(remove)
+    return path
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read from there: what is used more than once is computed once, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = removed_at_exit(df.sparkSession, f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.online import Breaker, Bucket, Ewma
+from ..sources import tables
+from ..sources.tables import removed_at_exit
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder that all executors share; only a local master gets one of its own."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder that all executors share; it goes when the driver ends."""
+    return removed_at_exit(spark, f"{tables.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1000) -> DataFrame:
@@ -40,6 +34,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
+    removed_at_exit(spark, f"{folder}-state")
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/{number}")

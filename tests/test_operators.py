@@ -514,3 +514,34 @@ def test_numbers_in_a_long_text_take_linear_time(spark):
     series = numbers.build_series(numbers.extract_numbers(df, "id", "text"), "id").collect()
     assert len(series) == 1 and series[0].labels == ["Q2", "Q3", "Q4", "Q1"] and series[0].values[0] == 417e6  # from a twelfth of the median on
     assert time.monotonic() - started < 60
+
+
+def test_addresses_within_addresses(spark):
+    blocked = "[::ffff:7f00:1] [::ffff:a9fe:a9fe] [::127.0.0.1] [2002:7f00:1::] [64:ff9b::7f00:1] [::ffff:0:10.0.0.1] [2001:0:1::f5ff:fffe] [1::2::3] [1:2:3:4:5:6:7:8:9] [::ffff:999.0.0.1] [12345::1] [:1:2:3:4:5:6:7] [::1] [::] [fe80::1%25eth0] [fd00::1] [ff02::1] [1:2] １２７.0.0.1".split()
+    fine = "[::ffff:808:808] [::ffff:8.8.8.8] [2002:808:808::1] [64:ff9b::808:808] [1:2:3:4:5:6:7:8] [1:2:3:4:5:6:7::] [2001:db8::1] [2001:DB8:0:0::1] 8.8.8.8 example.com".split()
+    df = spark.createDataFrame([(f"http://{h}/a.mp4",) for h in blocked + fine], "u string")
+    got = {r.u.split("/")[2]: r.v for r in df.select("u", pr.url_verdict(F.col("u")).alias("v")).collect()}
+    assert {h: got[h] for h in blocked} == dict.fromkeys(blocked, "blocked") and {h: got[h] for h in fine} == dict.fromkeys(fine, "ok")
+
+
+def test_graphs_level_by_level(spark):
+    import random
+
+    from spanloom.operators import records
+
+    rng = random.Random(6)
+    edges = [(n, rng.randint(0, n - 1)) for n in range(1, 60) for _ in range(rng.randint(0, 3))] + [(0, None), (70, 99), (5, None)]
+    df = spark.createDataFrame(edges + edges[:5], "node long, needs long")
+    nodes = {a for a, _ in edges}
+    real = {(a, b) for a, b in edges if b in nodes}
+    depth = {}
+    for n in sorted(nodes):
+        depth[n] = max([1 + depth[b] for a, b in real if a == n], default=0)
+    assert {r.node: r.depth for r in records.graph_depths(df).collect()} == depth
+    closure = {(a, b) for a, b in edges if b is not None}
+    while (more := closure | {(a, d) for a, b in closure for c, d in closure if b == c}) != closure:
+        closure = more
+    assert {(r.node, r.ancestor) for r in records.graph_ancestors(df).collect()} == closure
+    with pytest.raises(ValueError):
+        records.graph_depths(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node long, needs long"))
+    assert records.graph_depths(df.limit(0)).collect() == [] and records.graph_ancestors(df.limit(0)).collect() == []
