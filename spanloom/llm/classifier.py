@@ -171,6 +171,7 @@ def score_documents(df: DataFrame, model: Model, text_col: str = "text", keep: S
 
 
 def op8_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``, learned from ``labels.quality`` of those not held out; nulls, empty texts and repeated rows as in score_documents."""
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -222,6 +222,7 @@ def judge_documents(df: DataFrame, forest: Forest, text_col: str = "text", keep:
 
 
 def op2_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all ``documents``, learned from ``labels.quality`` of those not held out; nulls, empty texts and repeated rows as in judge_documents."""
     docs = table(spark, sf_dir, "documents")
     return judge_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
