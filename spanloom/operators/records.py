@@ -105,14 +105,21 @@ def graph_depths(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
 
 
 def graph_ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, ancestor: the transitive closure of needs (columns node, needs). Ways double in length each round, so rounds are the logarithm of the longest; cycles end, too."""
-    now = materialized(edges.where(F.col("node").isNotNull() & F.col("needs").isNotNull()).select("node", F.col("needs").alias("ancestor")).distinct())
-    n = now.count()
-    for _ in range(rounds):
-        longer = now.join(now.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("node", F.col("far").alias("ancestor"))
-        now = materialized(now.unionByName(longer).distinct())
-        if (m := now.count()) == n:
+    """node, ancestor: the transitive closure of needs (columns node, needs). Ways double in length each round, so rounds are the logarithm of the longest; cycles end, too.
+
+    A round has all pairs at most 2**k - 1 edges apart and those that ways of exactly 2**k edges join; only these go on from it, so a longer way is put together once, not at each of its nodes.
+    """
+    far = materialized(edges.where(F.col("node").isNotNull() & F.col("needs").isNotNull()).select("node", F.col("needs").alias("ancestor")).distinct())
+    now, n = far, far.count()
+    for k in range(rounds):
+        onward = far.select("node", F.col("ancestor").alias("mid"))
+        if k:  # in the first round ways of one edge are all there is
+            longer = onward.join(now.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor")
+            now = materialized(now.unionByName(far).unionByName(longer).distinct())
+            if (m := now.count()) == n:
+                break
+            n = m
+        far = materialized(onward.join(far.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct())
+        if far.isEmpty():
             break
-        n = m
     return now
-
