@@ -74,17 +74,19 @@ def parse_json(files: DataFrame, path: str = "path", content: str = "content") -
 def timed_words(text, start, end):
     """Words with times in proportion to their lengths, one more for the gap."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    total = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w) + 1)
     length = F.greatest(end - start, F.lit(1e-3))
-    none = F.array().cast("array<struct<text:string,start:double,end:double,prob:double>>")
-    first = F.struct(none.alias("out"), F.lit(0).alias("at"))
 
-    def add(acc, w):
-        upto = acc["at"] + F.length(w) + 1
-        word = F.struct(w.alias("text"), F.round(start + acc["at"] / total * length, 3).alias("start"), F.round(start + upto / total * length, 3).alias("end"), F.lit(0.9).alias("prob"))
-        return F.struct(F.concat(acc["out"], F.array(word)).alias("out"), upto.alias("at"))
+    def spread(b):
+        def word(w, i):
+            at = lambda k: F.round(b["start"] + F.get(b["at"], k) / F.element_at(b["at"], -1) * b["length"], 3)
+            return F.struct(w.alias("text"), at(i).alias("start"), at(i + 1).alias("end"), F.lit(0.9).alias("prob"))
 
-    return F.aggregate(words, first, add, lambda a: a["out"])
+        return F.transform(b["words"], word)
+
+    # words and the lengths up to each are bound as the one element of an array: within a function of each word they would be made anew for every word
+    upto = lambda ws: F.aggregate(ws, F.array(F.lit(0)), lambda at, w: F.concat(at, F.array(F.element_at(at, -1) + F.length(w) + 1)))
+    bound = F.transform(F.array(words), lambda ws: F.struct(ws.alias("words"), upto(ws).alias("at"), start.alias("start"), length.alias("length")))
+    return F.transform(bound, spread)[0]
 
 
 def sidecars(media: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:

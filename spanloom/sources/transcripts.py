@@ -2,6 +2,9 @@
 
 The folder's layout is Spark's own (``video=.../format=...``), so any store that Spark reads will do, a filter on video or format skips files before
 they are opened, and files are dealt out to tasks by size. What is read has the same columns whatever the format.
+
+A file for each of very many recordings costs more than what is in it: every one is a folder to make, to list and to open. Packs hold many transcripts
+in a file, each whole and in its format, as rows of Parquet; they are read by batch and stream alike, and give the same rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,12 @@ def write_transcripts(documents: DataFrame, path: str, mode: str = "overwrite")
     kept.select(F.col("body").alias("value"), F.col("video").cast("string").alias("video"), "format").write.mode(mode).partitionBy("video", "format").text(path)
 
 
+def write_packs(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write ``video, format, body`` as packs, filed by format. The same rows are kept as by ``write_transcripts``; files follow the tasks that write, not the recordings."""
+    kept = documents.where(F.col("body").isNotNull() & F.col("format").isin(*FORMATS))
+    kept.select(F.col("body").alias("value"), F.col("video").cast("string").alias("video"), "format").write.mode(mode).partitionBy("format").parquet(path)
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """video, format, idx, start, end, speaker, text, words of ``value, video, format``: cues of SRT and WebVTT, segments of JSON with their words.
 
@@ -42,6 +51,16 @@ def stream_transcripts(spark: SparkSession, path: str, per_trigger: int = 1000)
     return parsed(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_trigger).text(path, wholetext=True))
 
 
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``read_transcripts`` from packs."""
+    return parsed(spark.read.schema(SCHEMA).parquet(path))
+
+
+def stream_packs(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """The same rows as packs arrive, at most ``per_trigger`` packs at once."""
+    return parsed(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(path))
+
+
 def segments_json(segments: DataFrame, group: str, order: str) -> DataFrame:
     """group, body: each recording's segments (start, end, speaker, text) as a JSON list in order."""
     item = F.struct("start", "end", "speaker", "text")
