@@ -78,7 +78,8 @@ def timed_words(text, start, end):
 
     def spread(b):
         def word(w, i):
-            at = lambda k: F.round(b["start"] + F.get(b["at"], k) / F.element_at(b["at"], -1) * b["length"], 3)
+            # to the millisecond by whole numbers: rounding to three places goes by decimal digits, which other engines do not
+            at = lambda k: F.round((b["start"] + F.get(b["at"], k) / F.element_at(b["at"], -1) * b["length"]) * 1000) / 1000
             return F.struct(w.alias("text"), at(i).alias("start"), at(i + 1).alias("end"), F.lit(0.9).alias("prob"))
 
         return F.transform(b["words"], word)
