@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,28 +12,41 @@ from ..sources.tables import materialized, spread
 PHRASE_BOOST = 1.4
 #: Group sizes are broadcast for up to this many groups.
 BROADCAST_GROUPS = 100_000
+#: Frequencies of terms are broadcast for up to this many.
+BROADCAST_TERMS = 500_000
 
 
 def bounded(groups: DataFrame) -> bool:
     return groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
+def counted(terms: Column) -> Column:
+    """The distinct members of an array, in order, each with its number: ``array<struct<term, tf>>``. Counted within the row, so without a shuffle."""
+    ordered = F.transform(F.array(F.array_sort(terms)), lambda ts: F.struct(ts.alias("ts"), F.filter(F.sequence(F.lit(0), F.size(ts)), lambda i: (i == 0) | (i == F.size(ts)) | (F.get(ts, i) != F.get(ts, i - 1))).alias("at")))
+    runs = lambda b: F.transform(F.slice(b["at"], 1, F.size(b["at"]) - 1), lambda i, k: F.struct(F.get(b["ts"], i).alias("term"), (F.get(b["at"], k + 1) - i).cast("long").alias("tf")))
+    return F.flatten(F.transform(ordered, runs))
+
+
 def term_counts(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
-    """group, item, term, phrase, tf, total: content words and pairs of neighbours; total counts both."""
+    """group, item, term, phrase, tf, total: content words and pairs of neighbours; total counts both. An item is one text."""
     t = spread(texts.select(group, item, F.col(text).alias("x")), item, "x").select(group, item, keyword_tokens(F.coalesce("x", F.lit(""))).alias("t")).where(F.size("t") > 0)
     pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    both = t.select(group, item, (2 * F.size("t") - 1).alias("total"), F.explode(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
-    return both.groupBy(group, item, "total", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("phrase", F.contains("term", F.lit(" ")))
+    both = F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))
+    each = t.select(group, item, (2 * F.size("t") - 1).alias("total"), F.explode(counted(both)).alias("c"))
+    return each.select(group, item, "total", "c.term", "c.tf").withColumn("phrase", F.contains("term", F.lit(" ")))
 
 
 def keyword_scores(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
     """group, item, term, score. Phrases must recur; terms of every text of a group of several say nothing and go."""
-    counts = materialized(term_counts(texts, group, item, text))  # read twice: for the frequencies and for the scores
+    counts = term_counts(texts, group, item, text)
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    small = bounded(n)
     # counted by aggregation, so that no term of a large group gathers its rows in one task; a phrase that recurs nowhere goes here already
     df = counts.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most")).where(~F.contains("term", F.lit(" ")) | (F.col("most") >= 2))
-    df = df.join(F.broadcast(n) if bounded(n) else n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1)).drop("most")
-    told = counts.where(~F.col("phrase") | (F.col("tf") >= 2)).join(df, [group, "term"])
+    df = materialized(df.join(F.broadcast(n) if small else n, group).where((F.col("df") < F.col("n")) | (F.col("n") <= 1)).drop("most"))
+    side = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    # counts are made from the texts again: far less than to write and read them
+    told = counts.where(~F.col("phrase") | (F.col("tf") >= 2)).join(side, [group, "term"])
     weight = (1 + F.log("tf")) / F.log(2.0 + F.col("total"))
     score = weight * F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * F.when(F.col("phrase"), PHRASE_BOOST).otherwise(1.0)
     return told.select(group, item, "term", F.round(score, 6).alias("score"))
