@@ -110,7 +110,7 @@ def reviewed(docs: DataFrame, questions: DataFrame, rounds: int = 2, hits: int =
     found, log = None, None
     for r in range(1, rounds + 1):
         texts = open_.select("query", F.posexplode("asked").alias("i", "text")).select(F.struct("query", "i").alias("item_id"), "text")
-        new = bm25.top_k(bm25.scores(docs, texts, doc_id=doc_id), hits).select("query.query", "doc", "score")
+        new = bm25.top(docs, texts, hits, doc_id=doc_id).select("query.query", "doc", "score")
         both = new if found is None else found.select("query", "doc", "score").unionByName(new)
         best = both.groupBy("query", "doc").agg(F.max("score").alias("score"))
         found = materialized(bm25.top_k(best, hits))

@@ -204,7 +204,7 @@ def text_sketches(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    top = bm25.top_k(bm25.scores(docs, table(spark, sf_dir, "benchmark")), 8)
+    top = bm25.top(docs, table(spark, sf_dir, "benchmark"), 8)
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, "[.,!?;:]+$", "")), lambda w: F.length(w) > 2)).alias("terms"))
     return top.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(terms, "query").withColumn("sentences", tx.sentences(F.col("text")))
 

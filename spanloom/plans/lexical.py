@@ -46,13 +46,13 @@ query = register(QUERIES, ORACLES)
 @query(bm25_sql(tail=_TOP.format(10)))
 def bm25_topk(spark, sf_dir):
     """The ten best documents for every benchmark passage."""
-    return bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return bm25.top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query(bm25_sql(where="p.lang = 'en'", tail=_TOP.format(10)))
 def bm25_filtered(spark, sf_dir):
     """The same among English documents, with the statistics of all."""
-    return bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), F.col("lang") == "en"))
+    return bm25.top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_filter=F.col("lang") == "en")
 
 
 @query(bm25_sql(tail=_TOP.format(10)).replace("FROM documents", "FROM documents WHERE coalesce(lang, '') <> 'de'"))
@@ -63,7 +63,7 @@ def bm25_kept_index(spark, sf_dir):
     bm25.delete_documents(spark, docs.where("lang = 'de'"), path)
     bm25.compact(spark, path)
     sinks.remove_unnamed(spark, path)
-    return bm25.top_k(bm25.search_index(spark, path, table(spark, sf_dir, "benchmark")))
+    return bm25.search_index_top(spark, path, table(spark, sf_dir, "benchmark"))
 
 
 _POSTINGS = f"WITH p AS (SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest({sql_tokens('text')}) AS term FROM documents WHERE WHERE_) GROUP BY ALL)"
@@ -84,7 +84,8 @@ def postings_after_delete(spark, sf_dir):
     """Document frequencies after German documents are deleted from the index."""
     docs = table(spark, sf_dir, "documents")
     gone = docs.where("lang = 'de'").select(F.col("doc_id").alias("doc"))
-    left = bm25.postings(docs).join(gone, "doc", "left_anti")
+    few = gone.limit(bm25.BROADCAST_IDS + 1).count() <= bm25.BROADCAST_IDS
+    left = bm25.postings(docs).join(F.broadcast(gone) if few else gone, "doc", "left_anti")
     return left.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 

@@ -106,7 +106,7 @@ SELECT query, round(len(list_filter(w, lambda x: list_contains(f, x)))::DOUBLE /
 def set_coverage(spark, sf_dir):
     """How far the four best documents cover a passage's words, which are missing, and the margin of the best."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    top = bm25.top_k(bm25.scores(docs, items), 4)
+    top = bm25.top(docs, items, 4)
     from ..functions.text import lexical_tokens
 
     words = items.select(F.col("item_id").alias("query"), F.array_sort(F.array_distinct(lexical_tokens(F.col("text")))).alias("w"))

@@ -63,12 +63,8 @@ def rollup_maxpool(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # scored once; each document stands in the lists that it belongs to, which are ranked together
-    scored = bm25.scores(docs.withColumn("english", F.coalesce(F.col("lang") == "en", F.lit(False))), passages, keys=("english",))
-    of = F.when(F.col("english"), F.array(F.lit("lexical"), F.lit("text"))).otherwise(F.array(F.lit("lexical")))
-    listed = scored.select("query", "doc", "score", F.explode(of).alias("channel"))
-    order = W.partitionBy("query", "channel").orderBy(F.desc("score"), "doc")
-    lexical = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES).select("query", "channel", "doc", "rank", "score")
+    # scored once; each document stands in the lists that it belongs to
+    lexical = bm25.top_lists(docs, passages, CANDIDATES, {"lexical": F.lit(True), "text": F.col("lang") == "en"}).select("query", F.col("list").alias("channel"), "doc", "rank", "score")
     near = _knn(spark, sf_dir, CANDIDATES).select((F.col("query") / EVERY).cast("long").alias("query"), F.lit("image").alias("channel"), F.col("id").alias("doc"), "rank", "score")
     return lexical.unionByName(near)
 
@@ -117,7 +113,7 @@ def multi_query_fusion(spark, sf_dir):
     """Each sentence of a passage as a query of its own; their lists fused, and each document's best score."""
     parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "text"))
     parts = parts.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("item_id"), "text")
-    top = bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), parts))
+    top = bm25.top(table(spark, sf_dir, "documents"), parts)
     top = top.withColumn("query", F.floor(F.col("query") / 1000))
     return top.groupBy("query", "doc").agg(F.max("score").alias("best"), F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("score"), F.count(F.lit(1)).alias("lists"))
 
@@ -138,7 +134,7 @@ SELECT query, round(coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 10), 0)
 )
 def ndcg_recall_mrr(spark, sf_dir):
     """Quality of the lexical lists, with the labels as gains."""
-    lists = bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), CANDIDATES)
+    lists = bm25.top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), CANDIDATES)
     return fusion.metrics(lists, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("gain")))
 
 

@@ -80,7 +80,7 @@ def critic_rounds(spark, sf_dir):
 def _hits(spark, sf_dir, k=8):
     """The best documents for every passage as chunks of their source: query, doc, rank, score, terms, sentences, video, start, end, text."""
     docs, passages = chunks(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    top = bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), passages), k)
+    top = bm25.top(table(spark, sf_dir, "documents"), passages, k)
     terms = passages.select(F.col("item_id").alias("query"), F.array_distinct(F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, "[.,!?;:]+$", "")), lambda w: F.length(w) > 2)).alias("terms"))
     d = docs.select(F.col("doc_id").alias("doc"), F.col("video_id").alias("video"), "start", "end", "text")
     return top.join(d, "doc").join(terms, "query").withColumn("sentences", tx.sentences(F.col("text")))
