@@ -8,10 +8,12 @@ of any state that may enter, and those short tables are followed from block to b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .online import Ewma
 #: Rows of a block, and how many of the block before a running level starts from: by then less than 1e-22 of what it was is left.
 BLOCK = 4096
 RUN_UP = 1024
+#: Rows that one Python call should get: many small blocks share a call.
+CALL = 50_000
 #: Pieces of groups that are broadcast at once.
 PIECES = 200_000
 #: Fixed values of sampling: how many samples a recording should have, and the least stride in seconds.
@@ -50,6 +54,27 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], out: str = "idx")
     return joined.withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__p", "__g", "__q", "__first", "__before")
 
 
+def by_call(df: DataFrame, rows: int, keys: Sequence[str], numbers: Sequence[str], kept: Sequence[str], run: Callable[[dict[str, np.ndarray], list[int]], tuple[np.ndarray, dict[str, list | np.ndarray]]], schema: str) -> DataFrame:
+    """``run`` over the rows of many keys in one Python call, as small groups cost more to call than to work on: keys are dealt by a hash to calls of about CALL of all ``rows``.
+
+    ``run`` gets ``numbers``, sorted by keys and the first of them, and the bounds of each key's rows; it gives the places of rows whose ``kept`` columns go out, and new columns beside them. Keys may be null.
+    """
+    calls = max(1, -(-rows // CALL))
+
+    def each(table: pa.Table) -> pa.Table:
+        codes = [np.asarray(pc.dictionary_encode(table.column(k).combine_chunks(), null_encoding="encode").indices) for k in keys]
+        held = {c: table.column(c).to_numpy() for c in numbers}  # a list is an array of its own
+        place = np.lexsort([held[numbers[0]], *codes[::-1]])
+        change = np.any([np.diff(c[place], prepend=-1) != 0 for c in codes], axis=0)
+        out, made = run({c: x[place] for c, x in held.items()}, [*np.flatnonzero(change).tolist(), len(place)])
+        picked = table.select(list(kept)).take(pa.array(place[out]))
+        for name, values in made.items():
+            picked = picked.append_column(name, pa.array(values))
+        return picked
+
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(calls)).alias("__call")).applyInArrow(each, schema)
+
+
 def spikes(df: DataFrame, group: str, row_id: str, delta: str, number: str = "idx", block: int = BLOCK, run_up: int = RUN_UP) -> DataFrame:
     """group, id, number, spike: jumps above the group's running level and spread (0 where there is none), in the order of ``number``.
 
@@ -60,15 +85,16 @@ def spikes(df: DataFrame, group: str, row_id: str, delta: str, number: str = "id
     b = F.floor(F.col("k") / block)
     dealt = d.withColumn("b", F.explode(F.when(F.col("k") % block >= block - run_up, F.array(b, b + 1)).otherwise(F.array(b))))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k", kind="stable")
-        state, first = Ewma(), int(rows["k"].iloc[0])
-        state.seen = first
-        found = np.array([state.push(x) for x in rows["x"].to_numpy()])
-        mine = (rows["k"] // block == key[1]).to_numpy()
-        return pd.DataFrame({"g": rows["g"][mine], "id": rows["id"][mine], "k": rows["k"][mine], "spike": found[mine]})
+    def run(rows: dict[str, np.ndarray], cuts: list[int]) -> tuple[np.ndarray, dict]:
+        found, values = [], rows["x"].tolist()
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            state = Ewma()
+            state.seen = int(rows["k"][low])
+            found += [state.push(x) for x in values[low:high]]
+        mine = np.flatnonzero(rows["k"] // block == rows["b"])
+        return mine, {"spike": np.array(found)[mine]}
 
-    out = dealt.groupBy("g", "b").applyInPandas(run, f"g {kinds[group]}, id {kinds[row_id]}, k long, spike double")
+    out = by_call(dealt, df.count(), ["g", "b"], ["k", "b", "x"], ["g", "id", "k"], run, f"g {kinds[group]}, id {kinds[row_id]}, k long, spike double")
     return out.select(F.col("g").alias(group), F.col("id").alias(row_id), F.col("k").alias(number), "spike")
 
 
@@ -97,45 +123,54 @@ def thinned(df: DataFrame, group: str, time: str, row_id: str, stride: Column |
     d = df.where(F.col(time).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(time).cast("double").alias("t"), s.alias("s"), F.col(number).cast("long").alias("k"), (stride if isinstance(stride, Column) else F.lit(float(stride))).cast("double").alias("w"))
     d = d.withColumn("b", F.floor(F.col("k") / block))
 
-    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k", kind="stable")
-        t, mark, w = rows["t"].to_numpy(float), rows["s"].to_numpy() > 0, float(rows["w"].iloc[0])
-        n, nxt = len(rows), following(t, mark, w)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
-        # what is due before the block is due within a stride of its first row
-        most = min(entry(t, mark, np.inf), int(np.searchsorted(t, t[0] + w + 2 * NEAR, "right")), n - 1)
-        return pd.DataFrame({"g": [key[0]], "b": [key[1]], "w": [w], "opens": [(t[: most + 1] + NEAR).tolist()], "ends": [t[last[: most + 1]].tolist()], "marked": [bool(most < n and mark[most])]})
-
-    tables = d.groupBy("g", "b").applyInPandas(table, f"g {kinds[group]}, b long, w double, opens array<double>, ends array<double>, marked boolean")
-
-    def follow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("b")
-        due, dues = -np.inf, []
-        for opens, ends, marked, w in zip(rows["opens"], rows["ends"], rows["marked"], rows["w"], strict=True):
-            dues.append(due)
-            k = int(np.searchsorted(opens, due, "left"))
-            if k == len(opens) and marked:
-                k -= 1
-            if k < len(opens):
-                due = ends[k] + w
-        return pd.DataFrame({"h": key[0], "c": rows["b"], "due": dues})
-
-    dues = tables.groupBy("g").applyInPandas(follow, f"h {kinds[group]}, c long, due double")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k", kind="stable")
-        t, mark = rows["t"].to_numpy(float), rows["s"].to_numpy() > 0
-        nxt, at, kept = following(t, mark, float(rows["w"].iloc[0])), entry(t, mark, float(rows["due"].iloc[0])), []
-        while at < len(t):
-            kept.append(at)
-            at = int(nxt[at])
-        return rows.iloc[kept][["g", "id", "t", "s"]]
+    n = df.count()
+
+    def table(rows: dict[str, np.ndarray], cuts: list[int]) -> tuple[np.ndarray, dict]:
+        opens, ends, marked = [], [], []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            t, mark, w = rows["t"][low:high], rows["s"][low:high] > 0, float(rows["w"][low])
+            n, nxt = len(t), following(t, mark, w).tolist()
+            last = list(range(n))
+            for i in range(n - 1, -1, -1):
+                if nxt[i] < n:
+                    last[i] = last[nxt[i]]
+            # what is due before the block is due within a stride of its first row
+            most = min(entry(t, mark, np.inf), int(np.searchsorted(t, t[0] + w + 2 * NEAR, "right")), n - 1)
+            opens.append((t[: most + 1] + NEAR).tolist())
+            ends.append(t[last[: most + 1]].tolist())
+            marked.append(bool(most < n and mark[most]))
+        return np.array(cuts[:-1], np.int64), {"opens": opens, "ends": ends, "marked": marked}
+
+    tables = by_call(d, n, ["g", "b"], ["k", "t", "s", "w"], ["g", "b", "w"], table, f"g {kinds[group]}, b long, w double, opens array<double>, ends array<double>, marked boolean")
+
+    def follow(rows: dict[str, np.ndarray], cuts: list[int]) -> tuple[np.ndarray, dict]:
+        dues = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            due = -np.inf
+            for i in range(low, high):
+                dues.append(due)
+                opens = rows["opens"][i]
+                k = bisect_left(opens, due)
+                if k == len(opens) and rows["marked"][i]:
+                    k -= 1
+                if k < len(opens):
+                    due = rows["ends"][i][k] + float(rows["w"][i])
+        return np.arange(len(dues)), {"due": np.array(dues)}
+
+    dues = by_call(tables, n, ["g"], ["b", "w", "opens", "ends", "marked"], ["g", "b"], follow, f"g {kinds[group]}, b long, due double").select(F.col("g").alias("h"), F.col("b").alias("c"), "due")
+
+    def keep(rows: dict[str, np.ndarray], cuts: list[int]) -> tuple[np.ndarray, dict]:
+        kept = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            t, mark = rows["t"][low:high], rows["s"][low:high] > 0
+            nxt, at = following(t, mark, float(rows["w"][low])), entry(t, mark, float(rows["due"][low]))
+            while at < len(t):
+                kept.append(low + at)
+                at = int(nxt[at])
+        return np.array(kept, np.int64), {}
 
     given = d.join(dues, F.col("g").eqNullSafe(F.col("h")) & (F.col("b") == F.col("c"))).drop("h", "c")
-    out = given.groupBy("g", "b").applyInPandas(keep, f"g {kinds[group]}, id {kinds[row_id]}, t double, s double")
+    out = by_call(given, n, ["g", "b"], ["k", "t", "s", "w", "due"], ["g", "id", "t", "s"], keep, f"g {kinds[group]}, id {kinds[row_id]}, t double, s double")
     return out.select(F.col("g").alias(group), F.col("id").alias(row_id), "t", F.col("s").alias("spike"))
 
 

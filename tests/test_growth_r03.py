@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import bm25
+from spanloom.operators import bm25, scans
 
 
 def corpus(spark):
@@ -53,3 +53,16 @@ def test_postings_are_counted_within_the_row(spark):
     tokens = bm25.tokenized(docs, "doc_id", "text").select("doc", F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
     want = tokens.groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     assert rows_of(bm25.postings(docs).withColumn("len", F.col("len").cast("long")), "doc", "term", "len", "tf") == rows_of(want, "doc", "term", "len", "tf")
+
+
+def test_many_small_groups_share_a_call(spark, monkeypatch):
+    """Blocks of many groups in one Python call, groups without a name and ids too long for a double among them."""
+    big = 2**60
+    rows = [(g, float(i * 3), big + (g or 0) * 1000 + i, 0.9 if i == 20 else 0.01) for g in (None, *range(30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g long, t double, id long, d double")
+    frames = scans.numbered(df, "g", ["t", "id"])
+    monkeypatch.setattr(type(df.groupBy("g")), "applyInPandas", None)  # a call per group and block
+    assert sorted(r.id for r in scans.spikes(frames, "g", "id", "d").where("spike > 0").collect()) == sorted(i for _, t, i, d in rows if d > 0.5)
+    for block in (4, 4096):
+        got = scans.thinned(frames, "g", "t", "id", 10.0, block=block).collect()
+        assert sorted((r.g is None, r.id) for r in got) == sorted((g is None, i) for g, t, i, _ in rows if t % 12 == 0)
