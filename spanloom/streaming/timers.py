@@ -29,7 +29,8 @@ def micros(t: pd.Timestamp | dt.datetime) -> int:
 class OrderedLevels(StatefulProcessor):
     """Running levels over each key's rows in the order of time and id, released by timers; the level of a key without rows for ``idle_ms`` is forgotten.
 
-    State of a key: its waiting rows by (micros, id), its level, when its last row was, and when it wakes next.
+    State of a key: its waiting rows as a list, its level, when its last row was, and when it wakes next. Rows of a batch are added in one call and those that wait on are put back in one, as
+    every call goes to the state store and back; of rows with the same time and id the last one counts.
     """
 
     def __init__(self, key: str, row_id: str, delta: str, idle_ms: int):
@@ -37,26 +38,29 @@ class OrderedLevels(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint, id bigint", "delta double")
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint, delta double")
         self.level = handle.getValueState("level", "level double, spread double, seen int")
         self.last = handle.getValueState("last", "at bigint")
         self.next = handle.getValueState("next", "ms bigint")
 
     def wake(self, ms: int) -> None:
         """One timer at a time: for the earliest row that waits."""
-        if not self.next.exists() or ms < self.next.get()[0]:
+        due = self.next.get()
+        if due is None or ms < due[0]:
             self.handle.registerTimer(ms)
             self.next.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.last.get()[0] if self.last.exists() else None
-        earliest = None
+        before = self.last.get()
+        newest, earliest, added = None if before is None else before[0], None, []
         for part in rows:
             for at, i, d in zip(part["ts"], part[self.row_id], part[self.delta], strict=True):
                 when = micros(at)
-                self.waiting.updateValue((when, int(i)), (0.0 if pd.isna(d) else float(d),))
+                added.append((when, int(i), 0.0 if pd.isna(d) else float(d)))
                 newest = when if newest is None else max(newest, when)
                 earliest = when if earliest is None else min(earliest, when)
+        if added:
+            self.waiting.appendList(added)
         if earliest is not None:
             self.wake(-(-earliest // 1000))
             self.last.update((newest,))
@@ -65,19 +69,22 @@ class OrderedLevels(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((at, i, value[0]) for (at, i), value in self.waiting.iterator())
+        held = sorted((*row, d) for row, d in {(at, i): d for at, i, d in self.waiting.get()}.items())
         ready = [row for row in held if row[0] <= until]
         out = []
         if ready:
-            state = Ewma(*self.level.get()) if self.level.exists() else Ewma()
-            for at, i, d in ready:
-                out.append((key[0], i, state.push(d)))
-                self.waiting.removeKey((at, i))
+            before = self.level.get()
+            state = Ewma() if before is None else Ewma(*before)
+            out = [(key[0], i, state.push(d)) for _, i, d in ready]
             self.level.update((state.level, state.spread, state.seen))
+            if len(ready) < len(held):
+                self.waiting.put(held[len(ready) :])
+            else:
+                self.waiting.clear()
         self.next.clear()
         if len(ready) < len(held):
             self.wake(-(-held[len(ready)][0] // 1000))
-        elif self.last.exists() and self.last.get()[0] + self.idle_ms * 1000 <= until:
+        elif (last := self.last.get()) is not None and last[0] + self.idle_ms * 1000 <= until:
             self.level.clear()
             self.last.clear()
         if out:

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spanloom.operators import bm25, intervals, scans
+from spanloom.streaming import timers
 
 
 def corpus(spark):
@@ -79,3 +81,46 @@ def test_best_overlaps_equal_those_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(intervals, "CALL", call)
         got = intervals.best_of_others(df, "g", "id", bucket, "twice").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_rows_of_a_batch_are_held_in_one_call():
+    calls = []
+
+    class State:
+        def __init__(self, *_):
+            self.value = None
+
+        def get(self):
+            calls.append("get")
+            return iter(self.value or []) if isinstance(self.value, list) or self is machine.waiting else self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        put = update
+
+        def appendList(self, values):
+            calls.append("append")
+            self.value = [*(self.value or []), *values]
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        getListState = getValueState = lambda self, *a: State(*a)
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 500
+
+    machine = timers.OrderedLevels("user_id", "id", "delta", 10**9)
+    machine.init(Handle())
+    rows = pd.DataFrame({"ts": pd.to_datetime(list(range(1000)), unit="ms"), "id": range(1000), "delta": [0.5 if i == 300 else 0.0 for i in range(1000)]}).sample(frac=1, random_state=1)
+    list(machine.handleInputRows((7,), iter([rows]), Now()))
+    out = pd.concat(machine.handleExpiredTimer((7,), Now(), None))
+    assert len(calls) < 25 and out["id"].tolist() == list(range(501)) and out["id"][out["spike"] > 0].tolist() == [300]
+    assert len(machine.waiting.value) == 499
