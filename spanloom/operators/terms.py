@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tokens, suppressed
 from ..sources.tables import materialized, spread
+from .bm25 import repeated
+from .vocabulary import counted_and_best
 
 PHRASE_BOOST = 1.4
 #: Group sizes are broadcast for up to this many groups.
@@ -36,9 +38,11 @@ def term_counts(texts: DataFrame, group: str, item: str, text: str) -> DataFrame
     return each.select(group, item, "total", "c.term", "c.tf").withColumn("phrase", F.contains("term", F.lit(" ")))
 
 
-def keyword_scores(texts: DataFrame, group: str, item: str, text: str) -> DataFrame:
-    """group, item, term, score. Phrases must recur; terms of every text of a group of several say nothing and go."""
+def keyword_scores(texts: DataFrame, group: str, item: str, text: str, merged: bool = False) -> DataFrame:
+    """group, item, term, score. Phrases must recur; terms of every text of a group of several say nothing and go. With ``merged`` texts of an item that are alike in length count as one."""
     counts = term_counts(texts, group, item, text)
+    if merged:
+        counts = counts.groupBy(group, item, "total", "term", "phrase").agg(F.sum("tf").alias("tf"))
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     small = bounded(n)
     # counted by aggregation, so that no term of a large group gathers its rows in one task; a phrase that recurs nowhere goes here already
@@ -63,16 +67,22 @@ def keywords(scores: DataFrame, group: str, item: str, limit: int = 6) -> DataFr
     return scores.groupBy(group, item).agg(suppressed(ordered, limit).alias("keywords"))
 
 
-def topic_scores(texts: DataFrame, found: DataFrame, group: str, item: str, text: str) -> DataFrame:
-    """group, term, score over words of four characters or more; ``found`` (group, item, term) are keywords, which add weight.
+def topic_scores(texts: DataFrame, group: str, item: str, text: str, found: int = 6) -> DataFrame:
+    """group, term, score over words of four characters or more; those that are among the first ``found`` keywords of a text weigh more.
 
-    Words that occur once count only in groups where none recurs.
+    Words that occur once count only in groups where none recurs. Words are counted, and the keywords of a text found, within blocks of texts; only where ids recur or are null, or where there are very many
+    groups, all counts are shuffled.
     """
-    t = spread(texts.select(group, item, F.col(text).alias("x")), item, "x").select(group, item, F.explode(keyword_tokens(F.coalesce("x", F.lit("")), 4)).alias("term"))
-    per = t.groupBy(group, item, "term").agg(F.count(F.lit(1)).alias("c")).groupBy(group, "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
     n = texts.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    if not bounded(n) or repeated(texts, item):
+        t = spread(texts.select(group, item, F.col(text).alias("x")), item, "x").select(group, item, F.explode(keyword_tokens(F.coalesce("x", F.lit("")), 4)).alias("term"))
+        per = t.groupBy(group, item, "term").agg(F.count(F.lit(1)).alias("c")).groupBy(group, "term").agg(F.sum("c").alias("tf"), F.count(item).alias("df"))
+        best = ranked_terms(keyword_scores(texts, group, item, text, merged=True), [item]).where((F.col("rank") <= found) & ~F.contains("term", F.lit(" ")))
+    else:
+        words, best = counted_and_best(texts, group, item, text, {r[group]: r["n"] for r in n.collect()}, PHRASE_BOOST, found)
+        per = words.where(F.length("term") >= 4)
     recurs = per.groupBy(group).agg(F.max("tf").alias("most"))
-    hits = found.where(~F.contains("term", F.lit(" "))).groupBy(group, "term").agg(F.count(F.lit(1)).alias("hits"))
+    hits = best.groupBy(group, "term").agg(F.count(F.lit(1)).alias("hits"))
     rows = per.join(n, group).join(recurs, group).where((F.col("tf") >= 2) | (F.col("most") < 2)).join(hits, [group, "term"], "left")
     score = (1 + F.log("tf")) * F.sqrt(F.col("df") / F.col("n")) * (1 + 0.35 * F.least(F.coalesce("hits", F.lit(0)), F.lit(3)))
     return rows.select(group, "term", F.round(score, 6).alias("score"))

@@ -48,15 +48,14 @@ o AS (SELECT p.video_id, term, round((1 + ln(tf)) * sqrt(df::DOUBLE / n) * (1 +
 @query(_SCORES + _TOPICS + " SELECT video_id, term, score FROM o QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, term) <= 20")
 def topics_scores(spark, sf_dir):
     """The twenty best topics of every source."""
-    found = _keywords(spark, sf_dir).where("rank <= 6")
-    scored = terms.topic_scores(chunks(spark, sf_dir), found, "video_id", "doc_id", "text")
+    scored = terms.topic_scores(chunks(spark, sf_dir), "video_id", "doc_id", "text")
     return terms.ranked_terms(scored, ["video_id"]).where("rank <= 20").drop("rank")
 
 
 @query()
 def topics_greedy(spark, sf_dir):
     """Eight topics of every source after substring suppression."""
-    scored = terms.topic_scores(chunks(spark, sf_dir), _keywords(spark, sf_dir).where("rank <= 6"), "video_id", "doc_id", "text")
+    scored = terms.topic_scores(chunks(spark, sf_dir), "video_id", "doc_id", "text")
     return terms.keywords(scored.withColumn("item", F.lit(0)), "video_id", "item", 8).drop("item")
 
 
