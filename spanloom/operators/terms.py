@@ -16,6 +16,8 @@ PHRASE_BOOST = 1.4
 BROADCAST_GROUPS = 100_000
 #: Frequencies of terms are broadcast for up to this many.
 BROADCAST_TERMS = 500_000
+#: Terms of a group that are looked at first for its few best that do not contain each other.
+FIRST_TERMS = 2_000
 
 
 def bounded(groups: DataFrame) -> bool:
@@ -67,6 +69,18 @@ def keywords(scores: DataFrame, group: str, item: str, limit: int = 6) -> DataFr
     return scores.groupBy(group, item).agg(suppressed(ordered, limit).alias("keywords"))
 
 
+def group_keywords(scores: DataFrame, group: str, limit: int) -> DataFrame:
+    """group, keywords: the ``keywords`` of all of a group's terms. Its first FIRST_TERMS are gone through; only where they do not give enough of them, all are."""
+    scores = materialized(scores.withColumn("__item", F.lit(0)))
+    found = materialized(keywords(ranked_terms(scores, [group]).where(F.col("rank") <= FIRST_TERMS), group, "__item", limit))
+    large = scores.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FIRST_TERMS)
+    short = found.where(F.size("keywords") < limit).join(large, group).select(group)
+    if not short.isEmpty():
+        rest = keywords(scores.join(short, group, "left_semi"), group, "__item", limit)
+        found = found.join(short, group, "left_anti").unionByName(rest)
+    return found.drop("__item")
+
+
 def topic_scores(texts: DataFrame, group: str, item: str, text: str, found: int = 6) -> DataFrame:
     """group, term, score over words of four characters or more; those that are among the first ``found`` keywords of a text weigh more.
 

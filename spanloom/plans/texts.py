@@ -55,8 +55,7 @@ def topics_scores(spark, sf_dir):
 @query()
 def topics_greedy(spark, sf_dir):
     """Eight topics of every source after substring suppression."""
-    scored = terms.topic_scores(chunks(spark, sf_dir), "video_id", "doc_id", "text")
-    return terms.keywords(scored.withColumn("item", F.lit(0)), "video_id", "item", 8).drop("item")
+    return terms.group_keywords(terms.topic_scores(chunks(spark, sf_dir), "video_id", "doc_id", "text"), "video_id", 8)
 
 
 @query(

@@ -109,3 +109,19 @@ def test_topics_of_texts_whose_ids_recur(spark, tmp_path):
     rows = ", ".join(f"({i}, '{t}', '{s}')" for i, t, s in zip((1, 1, 1, 2, "NULL"), texts, "aabaa", strict=True))
     duckdb.sql(f"COPY (SELECT i::BIGINT AS doc_id, t AS text, s AS source FROM (VALUES {rows}) x(i, t, s)) TO '{tmp_path}/documents.parquet'")
     same_as_sql(spark, str(tmp_path), "topics_scores")
+
+
+def test_keywords_of_a_group_come_from_its_first_terms(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(g, "".join(rng.choices("ab", k=rng.randint(1, 9))), float(rng.randint(0, 5))) for g in "pq" for _ in range(80)] + [("r", "a" * k, float(k)) for k in range(1, 40)] + [("s", "x", 1.0)]
+    df = spark.createDataFrame(sorted({(g, t): (g, t, s) for g, t, s in rows}.values()), "g string, term string, score double")
+    want = rows_of(terms.keywords(df.withColumn("item", F.lit(0)), "g", "item", 8).drop("item"))
+    read = []
+    keywords = terms.keywords
+    monkeypatch.setattr(terms, "keywords", lambda scores, *a: (read.append(scores.groupBy("g").count().collect()), keywords(scores, *a))[1])
+    for first in (2_000, 30, 3):
+        monkeypatch.setattr(terms, "FIRST_TERMS", first)
+        read.clear()
+        assert rows_of(terms.group_keywords(df, "g", 8)) == want
+        assert max(r["count"] for r in read[0]) <= first and len(read) == (1 if first > 80 else 2)
+    assert terms.group_keywords(df.limit(0), "g", 8).collect() == []
